@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import formats, sampling, templates
+from lumenq.llm import formats, sampling, spans, templates
 from lumenq.session import load, materialise
 
 
@@ -47,6 +47,14 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.pairs(load(spark, sf_dir, "documents"))
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.coverage(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_records": p2_records,
@@ -55,6 +63,8 @@ QUERIES = {
     "p5_sample": p5_sample,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_shared": p8_shared,
 }
 
 _CLEAN = r"lower(trim(replace({0}, '_', ' '), e' \t\n\r'))"
@@ -70,4 +80,14 @@ i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'),
 dw AS (SELECT doc_id, array_to_string(w[p:p+9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS p FROM d)),
 iw AS (SELECT item_id, array_to_string(w[p:p+9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS p FROM i))
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+    "p8_found": """
+WITH w AS (SELECT DISTINCT doc_id, substr(text, p, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200)),
+r AS (SELECT doc_id, g FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM w) WHERE n > 1)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM r a JOIN r b USING (g) WHERE a.doc_id < b.doc_id""",
+    "p8_shared": """
+WITH w AS (SELECT doc_id, p, substr(text, p, 200) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS p FROM documents WHERE length(text) >= 200)),
+r AS (SELECT doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS lo, max(doc_id) OVER (PARTITION BY g) AS hi FROM w) WHERE lo < hi),
+s AS (SELECT *, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 1000000) AS gap FROM r),
+c AS (SELECT doc_id, count(*) FILTER (WHERE gap > 200) AS spans, sum(least(gap, 200))::BIGINT AS shared_chars FROM s GROUP BY doc_id)
+SELECT doc_id, spans, shared_chars, length(text)::BIGINT AS n_chars, round(shared_chars / length(text), 6) AS portion FROM c JOIN documents USING (doc_id)""",
 }
