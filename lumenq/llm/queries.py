@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import formats, sampling, spans, templates
+from lumenq.llm import formats, packing, sampling, spans, templates
 from lumenq.session import load, materialise
 
 
@@ -35,6 +35,14 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.draw(load(spark, sf_dir, "labelled"), planned)
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "containers"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, sf_dir), load(spark, sf_dir, "containers"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "test_items"))
 
@@ -61,6 +69,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_plan": p5_plan,
     "p5_sample": p5_sample,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,

@@ -208,7 +208,8 @@ def shared_pieces(documents: DataFrame, least: int = LEAST, shard_chars: int = S
     cut = materialise(pieces(documents, shared, least, shards).withColumn("pid", F.unhex(F.sha1("piece"))), "pieces")
     members = cut.select("pid", "doc_id", "begin", F.length("piece").alias("size"))
     distinct = cut.groupBy("shard", "pid").agg(F.first("piece").alias("piece"), F.collect_set("routes").alias("routes"))
-    runs = distinct.groupBy("shard").applyInPandas(_search(least), "pid_a binary, pid_b binary, a0 int, a1 int, b0 int")
+    # As many partitions as shards: AQE would else put many small ones into one task.
+    runs = distinct.repartition(shards, "shard").groupBy("shard").applyInPandas(_search(least), "pid_a binary, pid_b binary, a0 int, a1 int, b0 int")
     return members, materialise(runs, "runs")
 
 
