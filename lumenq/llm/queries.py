@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import formats, packing, sampling, spans, templates
+from lumenq.llm import formats, overlap, packing, sampling, spans, templates
 from lumenq.session import load, materialise
 
 
@@ -18,6 +18,23 @@ def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.collapse(load(spark, sf_dir, "examples"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = overlap.sample_pairs(load(spark, sf_dir, "samples")).withColumn("rec", F.lit("sample"))
+    predictions = overlap.prediction_pairs(load(spark, sf_dir, "predictions")).withColumn("rec", F.lit("prediction"))
+    pairs = samples.select("rec", "eval_id", "train_id").unionByName(predictions.select("rec", "eval_id", "train_id"))
+    return pairs.select("rec", F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
+
+
+def p3_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = load(spark, sf_dir, "samples")
+    return overlap.report(overlap.sample_pairs(samples), samples, "sample_id")
+
+
+def p3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predictions = load(spark, sf_dir, "predictions")
+    return overlap.report(overlap.prediction_pairs(predictions), predictions, "pred_id")
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.plan(load(spark, sf_dir, "labelled"), load(spark, sf_dir, "sources"), load(spark, sf_dir, "targets"))
 
@@ -66,6 +83,9 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p3_found": p3_found,
+    "p3_samples": p3_samples,
+    "p3_predictions": p3_predictions,
     "p5_found": p5_found,
     "p5_plan": p5_plan,
     "p5_sample": p5_sample,
