@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenq.llm import formats, overlap, packing, sampling, spans, templates
+from lumenq.llm import formats, overlap, packing, private, sampling, spans, templates
 from lumenq.session import load, materialise
 
 
@@ -35,6 +35,21 @@ def p3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(overlap.prediction_pairs(predictions), predictions, "pred_id")
 
 
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = load(spark, sf_dir, "examples").select(F.lit("example").alias("rec"), F.col("example_id").alias("rec_id"), "state")
+    labelled = load(spark, sf_dir, "labelled").select(F.lit("labelled").alias("rec"), F.col("labelled_id").alias("rec_id"), "state")
+    return examples.unionByName(labelled)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.spans(_states(spark, sf_dir)).select("rec", "rec_id", "kind", "span").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir)
+    return states.select("rec", "rec_id", private.redactor(states)("state").alias("state"))
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.plan(load(spark, sf_dir, "labelled"), load(spark, sf_dir, "sources"), load(spark, sf_dir, "targets"))
 
@@ -86,6 +101,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_samples": p3_samples,
     "p3_predictions": p3_predictions,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_plan": p5_plan,
     "p5_sample": p5_sample,
