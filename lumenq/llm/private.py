@@ -52,7 +52,7 @@ _SPACE = re.compile(r"\s")
 _NUMBER = re.compile(r"\d[\d ().+/\u00a0-]{7,}|[a-z]{2}\d{6}[a-d](?!\w)")
 _GAP = re.compile(r"[\s/,()<>|;:-]{1,5}$")
 _PHONES = [
-    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d\s)(?=\d))X
+    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d\s)(?=\d))(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{4}}(?!\d))"))
     for name, pattern in (
         ("us", r"(?:\+1[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}"),
         ("uk", r"(?:\+44\s?(?:\(0\)\s?)?|0)(?:\d{2}\s\d{4}\s\d{4}|7\d{3}\s\d{3}\s?\d{3}|\d{4}\s\d{6}|\d{3}\s\d{3}\s\d{4})"),
