@@ -21,7 +21,7 @@ def swap_repair(have: list[int], target: list[float], floor: list[int], size: in
 
     Starts from a random sample of ``size`` rows that holds ``min(floor, have)`` of each
     signature, then exchanges one signature for another, in the largest batch that still lowers
-    the summed deviation from ``target`` (shares of the sample), until no exchange lowers it.
+    the summed squared deviation from ``target`` (shares of the sample), until none lowers it.
     Only counts are exchanged, so the work depends on the number of signatures, not of rows.
     """
     n = len(have)
@@ -42,16 +42,14 @@ def swap_repair(have: list[int], target: list[float], floor: list[int], size: in
     size = max(size, sum(take))
     want = [t * size for t in target]
     while True:
-        over = [(take[k] - want[k], k) for k in range(n) if take[k] > min(floor[k], have[k])]
-        under = [(want[k] - take[k], k) for k in range(n) if take[k] < have[k]]
+        apart = [t - w for t, w in zip(take, want, strict=True)]
+        over = [(apart[k], k) for k in range(n) if take[k] > min(floor[k], have[k])]
+        under = [(apart[k], k) for k in range(n) if take[k] < have[k]]
         if not over or not under:
             return take
-        (surplus, a), (lack, b) = max(over), max(under)
-        if a == b:
-            return take
-        step = int(max(1, min(surplus, lack, take[a] - min(floor[a], have[a]), have[b] - take[b])))
-        gain = abs(take[a] - want[a]) + abs(take[b] - want[b]) - abs(take[a] - step - want[a]) - abs(take[b] + step - want[b])
-        if gain <= 1e-9:
+        (surplus, a), (lack, b) = max(over), min(under)
+        step = int(max(1, min((surplus - lack) / 2, take[a] - min(floor[a], have[a]), have[b] - take[b])))
+        if a == b or (surplus - step) ** 2 + (lack + step) ** 2 >= surplus**2 + lack**2 - 1e-9:
             return take
         take[a] -= step
         take[b] += step
