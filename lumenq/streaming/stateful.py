@@ -25,27 +25,27 @@ def rate_limited(requests: DataFrame, per_minute: int) -> DataFrame:
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         hits = list(state.get[0]) if state.exists else []
-        for f in frames:
-            out = []
-            f = f.sort_values(["ts", "key"])
-            for t in f.ts:
-                hits = [h for h in hits if t - h < WINDOW_S]
-                ok = len(hits) < per_minute
-                if ok:
-                    hits.append(float(t))
-                out.append(ok)
-            yield pd.DataFrame({"caller": key[0], "ts": f.ts, "key": f["key"], "admitted": out})
+        # One caller's part of one micro-batch, which the trigger bounds.
+        f = pd.concat(list(frames)).sort_values(["ts", "key"])
+        out = []
+        for t in f.ts:
+            hits = [h for h in hits if t - h < WINDOW_S]
+            ok = len(hits) < per_minute
+            if ok:
+                hits.append(float(t))
+            out.append(ok)
         state.update((hits,))
+        yield pd.DataFrame({"caller": key[0], "ts": f.ts, "key": f["key"], "admitted": out})
 
     return requests.groupBy("caller").applyInPandasWithState(fold, "caller string, ts double, key long, admitted boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def joined_outcomes(log: DataFrame, keep_hours: int = 24 * 30) -> DataFrame:
+def joined_outcomes(log: DataFrame, keep: str = "30 days") -> DataFrame:
     """Every ask with its outcomes so far, sent again whenever an outcome arrives or changes.
 
-    ``log`` is a stream with ``log_pos``, ``kind``, ``id`` and ``outcomes``. A stream-stream join
-    sends a row once and can't correct it, so the latest ask and outcome by log position are
-    kept as state for each id, and dropped after ``keep_hours`` without a message.
+    ``log`` is a stream with ``log_pos``, ``received_at``, ``kind``, ``id`` and ``outcomes``. A
+    stream-stream join sends a row once and can't correct it, so the latest ask and outcome by
+    log position are kept as state for each id, and dropped once the stream is ``keep`` past it.
     """
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,19 +53,22 @@ def joined_outcomes(log: DataFrame, keep_hours: int = 24 * 30) -> DataFrame:
             state.remove()
             return
         ask, out_pos, out = state.get if state.exists else (-1, -1, None)
+        last = state.getCurrentWatermarkMs()
         for f in frames:
-            for kind, pos, outcomes in zip(f.kind, f.log_pos, f.outcomes, strict=True):
+            for kind, pos, outcomes, at in zip(f.kind, f.log_pos, f.outcomes, f.received_ms, strict=True):
+                last = max(last, int(at))
                 if kind == "ask":
                     ask = max(ask, int(pos))
                 elif pos > out_pos:
                     out_pos, out = int(pos), outcomes
         state.update((ask, out_pos, out))
-        state.setTimeoutDuration(keep_hours * 3_600_000)
+        state.setTimeoutTimestamp(last + 1)
         if ask >= 0:
             yield pd.DataFrame({"id": [key[0]], "ask_pos": [ask], "outcome_pos": [out_pos if out_pos >= 0 else None], "outcomes": [out]})
 
-    keyed = log.where(F.col("id").isNotNull()).groupBy("id")
-    return keyed.applyInPandasWithState(merge, "id string, ask_pos long, outcome_pos long, outcomes string", "ask long, pos long, outcomes string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = log.where(F.col("id").isNotNull()).withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", keep)
+    keyed = timed.withColumn("received_ms", F.unix_millis("received_at")).groupBy("id")
+    return keyed.applyInPandasWithState(merge, "id string, ask_pos long, outcome_pos long, outcomes string", "ask long, pos long, outcomes string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_asks(asks: DataFrame, keep: str = "1 hour") -> DataFrame:
