@@ -100,15 +100,16 @@ def passages(words: np.ndarray, cost: np.ndarray, need: int) -> list[tuple[int,
     n = len(words)
     if need >= n:
         return [(k, k + 1) for k in range(n)]
-    low, high, best = 0.0, float(cost.sum()) / need + 1e-9, None
-    for _ in range(12):
+    surprise = cost.tolist()
+    low, high, best = 0.0, sum(surprise) / need + 1e-9, None
+    for _ in range(9):
         mid = (low + high) / 2
         cuts, held, begin = [], 0.0, 0
-        for k in range(n):
-            held += cost[k]
-            if held >= mid or k + 1 - begin == LONGEST:
-                cuts.append(k + 1)
-                begin, held = k + 1, 0.0
+        for k, x in enumerate(surprise, 1):
+            held += x
+            if held >= mid or k - begin == LONGEST:
+                cuts.append(k)
+                begin, held = k, 0.0
         if len(cuts) >= need:
             low, best = mid, cuts
         else:
@@ -143,20 +144,20 @@ def _route(classes: DataFrame, similarity: float, shards: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for key, in_train, in_eval, words in zip(b["key"], b.in_train, b.in_eval, b.words, strict=True):
-                n, bits = len(words), _bits(words)
+                n, bits, text = len(words), _bits(words), _text(words)
                 shard = words * shards >> _WORD_BITS
                 if in_train:
                     edges = np.flatnonzero(np.diff(shard, prepend=-1))
                     for k, begin in enumerate(edges):
                         # Passages that begin in the shard may run on into the next one.
                         end = min(n, (edges[k + 1] if k + 1 < len(edges) else n) + LONGEST - 1)
-                        out.append((int(shard[begin]), True, key, n, bits, _text(words[begin:end])))
+                        out.append((int(shard[begin]), True, key, n, bits, text[2 * begin : 2 * end]))
                 if in_eval:
                     if n not in need:
                         need[n] = differences(n, similarity) + 1
                     chosen: dict[int, list[str]] = {}
                     for begin, end in passages(words, surprise[words % SKETCH], need[n]):
-                        chosen.setdefault(int(shard[begin]), []).append(_text(words[begin:end]))
+                        chosen.setdefault(int(shard[begin]), []).append(text[2 * begin : 2 * end])
                     out += [(s, False, key, n, bits, "\n".join(texts)) for s, texts in chosen.items()]
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=["shard", "train", "key", "n", "bits", "body"])
