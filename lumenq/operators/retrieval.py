@@ -120,3 +120,18 @@ def pooled(tokens: Column, mask: Column, mode: str) -> Column:
         kept = F.zip_with(tokens, mask, lambda t, m: F.transform(t, lambda x: x.cast("double") * m))
         return F.transform(F.aggregate(kept, F.transform(tokens[0], lambda _: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / n)
     raise ValueError(f"no such pooling: {mode}")
+
+
+def rerank(yes: Column, no: Column) -> Column:
+    """Distribution over options from a reranker's yes and no logits of each."""
+    return dist.softmax(F.zip_with(yes, no, lambda a, b: a - b))
+
+
+def head_approach(pool: DataFrame, held: DataFrame, classes: int, label: str = "label", vector: str = "embedding", floor: float = 0.005) -> DataFrame:
+    """A probe trained on the pool, its temperature fitted there, applied to the held-out rows: ``p`` of each."""
+    from lumenq.operators import fit
+
+    weights, bias = fit_probe(pool, classes, label, vector)
+    scored = probe(pool, weights, bias, vector).select(F.lit("head").alias("task"), "p", F.col(label).cast("int").alias("y"))
+    fitted = fit.head_temperature(fit.diagnose(scored, "task", floor=floor)).select("temperature").first().temperature
+    return probe(held, weights, bias, vector).withColumn("p", dist.sharpen(F.col("p"), fitted, floor))

@@ -78,6 +78,15 @@ def decide(states: DataFrame, questions: DataFrame, scorer: Scorer, calibration:
     return answered.withColumn("score", F.when(F.col("type") == "score", dist.dot(F.col("p"), F.col("vals")))).drop("prefix", "branches", "shown", "orderings")
 
 
+def wire_answer(type_: Column, options: Column, vals: Column, p: Column, confidence: str = "margin") -> Column:
+    """The typed answer as JSON, in the same shape whether a head or the teacher gave it."""
+    as_map = F.map_from_arrays(options, p)
+    conf = dist.confidence(p, confidence).alias("confidence")
+    choice = F.to_json(F.struct(F.get(options, dist.argmax(p)).alias("choice"), as_map.alias("probabilities"), conf))
+    score = F.to_json(F.struct(dist.dot(p, vals).alias("score"), F.map_from_arrays(options, vals).alias("legend"), as_map.alias("probabilities"), conf))
+    return F.when(type_ == "choice", choice).when(type_ == "noul", F.to_json(F.struct(p[0].alias("noul")))).when(type_ == "score", score)
+
+
 def keyword_scorer(prefix: str, branches: list[str], shown: list[list[str]]) -> list[list[float]]:
     """A deterministic double of a model: 3 for every option word that the state holds, by option."""
     held = set(prefix.lower().split())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenq.functions import dist, text
 from lumenq.operators import metrics, retrieval, routing, traffic
 from lumenq.plans import decide
-from lumenq.plans.base import FACTS, confidences, facts, family_questions
+from lumenq.plans.base import FACTS, QUESTIONS, confidences, facts, family_questions
 from lumenq.plans.metric_queries import rounded
 from lumenq.plans.traffic_queries import _EX
 from lumenq.session import load, shared_dir
@@ -134,6 +134,37 @@ def vec9(spark, sf):
     return got.select("vec_id", dist.choice_answer(names, F.col("p"))["choice"].alias("choice"))
 
 
+def vec6(spark, sf):
+    """A reranker's yes and no logits per option, here the logarithms of p and of 1 - p."""
+    rows = facts(spark, sf)
+    yes, no = (F.transform("p", lambda x: F.ln(x)), F.transform("p", lambda x: F.ln(1 - x)))
+    return rows.select("id", F.posexplode(retrieval.rerank(yes, no)).alias("k", "v")).select("id", "k", F.round("v", 6).alias("v"))
+
+
+def vec10(spark, sf):
+    """Exported teacher distributions as typed answers of their family's question."""
+    ex = load(spark, sf, "examples").select("example_id", F.lower(text.strip(F.col("family"))).alias("family"), "teacher")
+    q = family_questions(spark, sf).select(F.col("family").alias("f__"), "qtype", "options", "vals")
+    rows = ex.join(q, F.col("family") == F.col("f__")).where(F.size("teacher") == F.size("options"))
+    answer = decide.wire_answer(F.col("qtype"), F.col("options"), F.col("vals"), F.col("teacher"))
+    got = rows.select("example_id", "qtype", answer.alias("a"))
+    number = lambda name: F.round(F.get_json_object("a", f"$.{name}").cast("double"), 6).alias(name)
+    return got.select("example_id", "qtype", F.get_json_object("a", "$.choice").alias("choice"), number("noul"), number("score"))
+
+
+def fit21(spark, sf):
+    rows = load(spark, sf, "embeddings").where(F.col("label").isNotNull())
+    got = retrieval.head_approach(rows.where(F.col("vec_id") % 2 == 0), rows.where(F.col("vec_id") % 2 == 1), 10)
+    return rounded(got.agg(F.count(F.lit(1)).alias("n"), F.avg((dist.argmax(F.col("p")) == F.col("label")).cast("double")).alias("accuracy")), 3)
+
+
+def top4(spark, sf):
+    """The five best options of a distribution, best first."""
+    best = F.slice(F.array_sort(F.transform("p", lambda x, i: F.struct((-x).alias("s"), i.alias("i")))), 1, 5)
+    rows = facts(spark, sf).select("id", "options", F.posexplode(best).alias("k", "b"))
+    return rows.select("id", "k", F.get("options", F.col("b.i")).alias("option"))
+
+
 def ent1(spark, sf):
     """States and their family's question through the whole pipeline, with a deterministic scorer."""
     ex = load(spark, sf, "examples").where(F.col("state").isNotNull()).select(F.col("example_id").alias("id"), F.lower(text.strip(F.col("family"))).alias("family"), "state")
@@ -191,7 +222,7 @@ def top7(spark, sf):
 
 QUERIES = {
     "SRC1_csv": src1, "SRC3_jsonl_gz": src3, "SRC4_parquet_columns": src4, "SRC7_dispatch": src7, "SRC9_log": src9, "SRC10_prediction_files": src10, "SRC12_distributions": snk5, "SNK6_wire": snk6,
-    "WIN4_equal_mass": win4, "JON5_pairing": jon5, "JON9_recent_lookup": jon9, "VEC7_pooling": vec7, "VEC9_head": vec9, "FIT18_soft_head": fit18,
+    "WIN4_equal_mass": win4, "JON5_pairing": jon5, "JON9_recent_lookup": jon9, "VEC7_pooling": vec7, "VEC6_rerank": vec6, "VEC9_head": vec9, "VEC10_typed_answer": vec10, "FIT21_head_approach": fit21, "TOP4_best": top4, "FIT18_soft_head": fit18,
     "ENT1_decide": ent1, "ENT8_rescore": ent8, "STR2_stream_join": str2, "STR2_stream_hours": str2_hours, "PRJ18_answer_distribution": prj18, "TOP7_recent_ids": top7,
 }
 
@@ -208,6 +239,11 @@ SQL = {
     "JON5_pairing": "SELECT example_id, json_array_length(shadow, '$.probabilities') = len(teacher) AS aligned FROM examples WHERE shadow IS NOT NULL",
     "JON9_recent_lookup": "SELECT log_pos FROM traffic_log WHERE kind = 'outcome' AND id IN (SELECT id FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 500)",
     "VEC7_pooling": "SELECT vec_id, CAST(unnest(range(16)) AS INT) AS k, round(unnest(list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[16 + i]::DOUBLE + embedding[32 + i]::DOUBLE) / 3)), 6) AS v FROM embeddings",
+    "VEC6_rerank": f"WITH {FACTS}, o AS (SELECT id, list_transform(p, lambda x: x / (1 - x)) AS o FROM f) SELECT id, CAST(unnest(range(len(o))) AS INT) AS k, round(unnest(list_transform(o, lambda x: x / list_sum(o))), 6) AS v FROM o",
+    "VEC10_typed_answer": f"""WITH {QUESTIONS}, e AS (SELECT example_id, lower(regexp_replace(family, '^\\s+|\\s+$', '', 'g')) AS family, teacher AS t FROM examples)
+SELECT example_id, qtype, CASE WHEN qtype = 'choice' THEN options[list_position(t, list_max(t))] END AS choice, CASE WHEN qtype = 'noul' THEN round(t[1], 6) END AS noul,
+  CASE WHEN qtype = 'score' THEN round(list_sum(list_transform(list_zip(t, vals), lambda s: s[1] * s[2])), 6) END AS score FROM e JOIN q USING (family) WHERE len(t) = len(options)""",
+    "TOP4_best": f"WITH {FACTS}, s AS (SELECT id, options, list_sort(list_transform(range(1, n + 1), lambda i: {{'s': -p[i], 'i': i}}))[1:5] AS b FROM f) SELECT id, CAST(unnest(range(len(b))) AS INT) AS k, unnest(list_transform(b, lambda x: options[x.i])) AS option FROM s",
     "STR2_stream_join": "SELECT id, max(log_pos) FILTER (WHERE kind = 'ask') AS ask_pos, coalesce(max(log_pos) FILTER (WHERE kind = 'outcome'), -1) AS outcome_pos FROM traffic_log WHERE id IS NOT NULL GROUP BY id HAVING count(*) FILTER (WHERE kind = 'ask') > 0",
     "PRJ18_answer_distribution": f"WITH {_EX} SELECT request_id AS id, question AS name, len(teacher) AS options, round(list_sum(teacher), 3) AS mass FROM ex",
     "TOP7_recent_ids": "SELECT id, max(log_pos) AS log_pos FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL GROUP BY id ORDER BY 2 DESC LIMIT 300",
