@@ -69,16 +69,25 @@ def permute(p: Column, ordering: Column) -> Column:
 
 def unpermute(p: Column, ordering: Column) -> Column:
     """Undo ``permute``; lengths must agree."""
-    undone = F.transform(F.sequence(F.lit(0), F.size(ordering) - 1), lambda j: F.get(p, (F.array_position(ordering, j) - 1).cast("int")))
-    return F.when(F.size(p) != F.size(ordering), F.raise_error(F.lit("a distribution and its ordering differ in length")).cast("array<double>")).otherwise(undone)
+    bad = F.raise_error(F.lit("a distribution and its ordering differ in length")).cast("array<double>")
+
+    def undo(v: Column) -> Column:
+        placed = F.transform(F.sequence(F.lit(0), F.size(ordering) - 1), lambda j: F.get(v, (F.array_position(ordering, j) - 1).cast("int")))
+        return F.when(F.size(v) != F.size(ordering), bad).otherwise(placed)
+
+    return let(p, undo)
 
 
 def average(dists: Column) -> Column:
     """Mean of an array of distributions, renormalised; ragged or empty input is an error."""
-    first = F.get(dists, F.lit(0))
-    ragged = (F.size(dists) < 1) | F.exists(dists, lambda d: F.size(d) != F.size(first))
-    summed = F.aggregate(dists, F.transform(first, lambda _: F.lit(0.0)), lambda acc, d: F.zip_with(acc, d, lambda x, y: x + y))
-    return F.when(ragged, F.raise_error(F.lit("distributions to average are ragged or none")).cast("array<double>")).otherwise(normalise(summed))
+    bad = F.raise_error(F.lit("distributions to average are ragged or none")).cast("array<double>")
+
+    def mean(v: Column) -> Column:
+        first = F.get(v, F.lit(0))
+        ragged = (F.size(v) < 1) | F.exists(v, lambda d: F.size(d) != F.size(first))
+        return F.when(ragged, bad).otherwise(F.aggregate(v, F.transform(first, lambda _: F.lit(0.0)), lambda acc, d: F.zip_with(acc, d, lambda x, y: x + y)))
+
+    return normalise(let(dists, mean))
 
 
 def combine(logits: Column, orderings: Column, temperature: float = 1.0) -> Column:
@@ -88,8 +97,8 @@ def combine(logits: Column, orderings: Column, temperature: float = 1.0) -> Colu
 
 def debias(p: Column, prior: Column) -> Column:
     """Divide by a null prior and renormalise; a prior without mass is an error."""
-    divided = normalise(F.zip_with(p, prior, lambda a, b: a / F.greatest(b, F.lit(TINY))))
-    return F.when(total(prior) <= 0, F.raise_error(F.lit("a null prior has mass")).cast("array<double>")).otherwise(divided)
+    bad = F.raise_error(F.lit("a null prior has mass")).cast("array<double>")
+    return let(prior, lambda q: F.when(total(q) <= 0, bad).otherwise(normalise(F.zip_with(p, q, lambda a, b: a / F.greatest(b, F.lit(TINY))))))
 
 
 def pool(p: Column, q: Column, weight: float) -> Column:
@@ -128,16 +137,20 @@ def entropy(p: Column) -> Column:
 
 
 def confidence(p: Column, kind: str = "max_prob") -> Column:
-    n = F.size(p)
     if kind == "max_prob":
         return F.array_max(p)
+    if kind in ("entropy", "normalized_max"):
+        return let(p, lambda v: _spread(v, kind))
     if kind == "margin":
         return let(F.array_sort(p, lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), lambda s: F.when(F.size(s) > 1, s[0] - F.get(s, F.lit(1))).otherwise(s[0]))
+    raise ValueError(f"no such confidence: {kind}")
+
+
+def _spread(p: Column, kind: str) -> Column:
+    n = F.size(p)
     if kind == "entropy":
         return F.when(n < 2, 1.0).otherwise(1 - entropy(p) / F.ln(n.cast("double")))
-    if kind == "normalized_max":
-        return F.when(n < 2, 1.0).otherwise(F.greatest(F.lit(0.0), (n * F.array_max(p) - 1) / (n - 1)))
-    raise ValueError(f"no such confidence: {kind}")
+    return F.when(n < 2, 1.0).otherwise(F.greatest(F.lit(0.0), (n * F.array_max(p) - 1) / (n - 1)))
 
 
 def expectation(p: Column, values: Column) -> Column:
@@ -160,7 +173,7 @@ def score_answer(options: Column, p: Column, values: Column, kind: str = "margin
 
 def expand(full: Column, kept: Column, p: Column) -> Column:
     """Probabilities over all options; those that were cut get exactly 0."""
-    return F.transform(full, lambda o: F.coalesce(F.get(p, (F.array_position(kept, o) - 1).cast("int")), F.lit(0.0)))
+    return let(p, lambda v: F.transform(full, lambda o: F.coalesce(F.get(v, (F.array_position(kept, o) - 1).cast("int")), F.lit(0.0))))
 
 
 def one_hot(n: Column, y: Column) -> Column:
@@ -168,7 +181,7 @@ def one_hot(n: Column, y: Column) -> Column:
 
 
 def cumulated(p: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: total(F.slice(p, F.lit(1), k)))
+    return let(p, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda k: total(F.slice(v, F.lit(1), k))))
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -192,8 +205,8 @@ def cross_entropy(target: Column, p: Column) -> Column:
 
 def rps(p: Column, y: Column) -> Column:
     """Ranked probability score of an ordered scale, over the number of steps."""
-    target = one_hot(F.size(p), y)
-    return total(F.zip_with(cumulated(p), cumulated(target), lambda a, b: F.pow(a - b, F.lit(2.0)))) / F.greatest(F.size(p) - 1, F.lit(1))
+    apart = lambda c: F.transform(c, lambda x, i: F.pow(x - F.when(i >= y, 1.0).otherwise(0.0), F.lit(2.0)))
+    return total(apart(cumulated(p))) / F.greatest(F.size(p) - 1, F.lit(1))
 
 
 def unimodal_hinge(p: Column, target: Column) -> Column:

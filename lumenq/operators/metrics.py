@@ -81,6 +81,10 @@ def selective(rows: DataFrame, by: list[str], thresholds: list[float] | None = N
     return wide.select(*by, F.explode(points).alias("s")).select(*by, "s.*")
 
 
+def _summed(cells: Column, value: str) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x[value])
+
+
 def report(facts: DataFrame, by: list[str], bins: int = 10, confidence: str = "max_prob", temperature: float = 1.0, floor: float = dist.FLOOR) -> DataFrame:
     """One row a group: count, accuracy, ECE, Brier, temperature, the bins and the selective curve.
 
@@ -91,21 +95,24 @@ def report(facts: DataFrame, by: list[str], bins: int = 10, confidence: str = "m
     cells = cell.groupBy(*by, "bin", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("conf").alias("s"), F.sum("correct").alias("a"), F.sum(dist.brier(F.col("p"), F.col("y"))).alias("b"))
     parts = cells.groupBy(*by).agg(F.sum("c").alias("count"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.collect_list(F.struct("bin", "band", "c", "s", "a")).alias("cells"))
 
-    def over(field: str, value: str, low: int, high: int) -> Column:
-        """Sum of ``value`` over the cells with ``field`` from ``low`` to ``high``."""
-        return F.aggregate(F.filter("cells", lambda x: x[field].between(low, high)), F.lit(0.0), lambda acc, x: acc + x[value])
+    def cell_of(k: Column) -> Column:
+        def cell(own: Column) -> Column:
+            count, conf, right = (_summed(own, v) for v in "csa")
+            mean = lambda x: F.coalesce(F.try_divide(x, count), F.lit(0.0))
+            return F.struct((k / bins).alias("lo"), ((k + 1) / bins).alias("hi"), count.cast("long").alias("count"), mean(conf).alias("confidence"), mean(right).alias("accuracy"))
+
+        return dist.let(F.filter("cells", lambda x: x["bin"] == k), cell)
 
-    def cell_of(k: int) -> Column:
-        count, conf, right = (over("bin", v, k, k) for v in "csa")
-        mean = lambda x: F.coalesce(F.try_divide(x, count), F.lit(0.0))
-        return F.struct(F.lit(k / bins).alias("lo"), F.lit((k + 1) / bins).alias("hi"), count.cast("long").alias("count"), mean(conf).alias("confidence"), mean(right).alias("accuracy"))
+    def point_of(threshold: Column, k: Column) -> Column:
+        def point(own: Column) -> Column:
+            count, right = _summed(own, "c"), _summed(own, "a")
+            return F.struct(threshold.alias("threshold"), (count / F.col("count")).alias("coverage"), F.try_divide(right, count).alias("accuracy"))
 
-    def point_of(k: int) -> Column:
-        count, right = (over("band", v, k + 1, len(THRESHOLDS)) for v in "ca")
-        return F.struct(F.lit(THRESHOLDS[k]).alias("threshold"), (count / F.col("count")).alias("coverage"), F.try_divide(right, count).alias("accuracy"))
+        return dist.let(F.filter("cells", lambda x: x["band"] > k), point)
 
-    listed, curve = [cell_of(k) for k in range(bins)], [point_of(k) for k in range(len(THRESHOLDS))]
-    out = parts.withColumn("bins", F.array(*listed)).withColumn("curve", F.array(*curve))
+    listed = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), cell_of)
+    curve = F.transform(F.array(*map(F.lit, THRESHOLDS)), point_of)
+    out = parts.withColumn("bins", listed).withColumn("curve", curve)
     gap = F.aggregate("bins", F.lit(0.0), lambda acc, x: acc + x["count"] * F.abs(x["accuracy"] - x["confidence"]))
     return out.select(*by, "count", (F.col("a") / F.col("count")).alias("accuracy"), (gap / F.col("count")).alias("ece"), (F.col("b") / F.col("count")).alias("brier"), F.lit(float(temperature)).alias("temperature"), "bins", "curve")
 

@@ -51,7 +51,9 @@ def examples(log: DataFrame, family: str | None = None, invalid: str = "null") -
     that is none of the options is null with ``bad_outcome`` (``invalid="null"``) or an error
     (``invalid="error"``).
     """
-    asks = latest_asks(log).select(F.col("id").alias("request_id"), "state", "answers", "served_by", "shadow", F.explode(_json_map("questions")).alias("question", "text"))
+    # JSON is parsed once an ask, before its questions are unfolded.
+    parsed_asks = latest_asks(log).select(F.col("id").alias("request_id"), "state", *(_json_map(c).alias(c) for c in ("questions", "answers", "served_by", "shadow")))
+    asks = parsed_asks.select("request_id", "state", "answers", "served_by", "shadow", F.explode("questions").alias("question", "text"))
     named = asks.withColumn("q", parsed(F.col("text"))).where(F.col("q.error").isNull())
     if family is not None:
         named = named.where(F.col("q.family") == family)
@@ -59,7 +61,7 @@ def examples(log: DataFrame, family: str | None = None, invalid: str = "null") -
     index = outcome_index(F.col("q.type"), F.col("q.options"), F.col("raw"))
     if invalid == "error":
         index = F.when(index == -1, F.raise_error(F.concat(F.lit("an outcome is none of the options: "), "raw")).cast("int")).otherwise(index)
-    of = lambda column: F.try_element_at(_json_map(column), F.col("question"))
+    of = lambda column: F.try_element_at(column, F.col("question"))
     return joined.select(
         "request_id",
         F.col("q.family").alias("family"),
