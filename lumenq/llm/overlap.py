@@ -285,7 +285,7 @@ def prediction_pairs(predictions: DataFrame, tolerance: float = TOLERANCE) -> Da
     two options that are written alike match nothing.
 
     Numbers aren't text: rows meet by task, label, options and the cell of two probabilities.
-    Cells are twice the tolerance wide, so a row near a border is filed under both sides.
+    Cells are a little over twice the tolerance wide; a row near a border is filed under both sides.
     """
 
     def name(x: Column) -> Column:
@@ -297,7 +297,8 @@ def prediction_pairs(predictions: DataFrame, tolerance: float = TOLERANCE) -> Da
     )
     rows = rows.where((F.size("d") > 0) & ~F.exists("d", lambda e: e["p"].isNull())).select("id", "task", "train", "lab", F.col("d.o").alias("options"), F.col("d.p").alias("p"))
     rows = rows.where(F.size(F.array_distinct("options")) == F.size("options"))
-    width, slack = 2 * tolerance, tolerance * 1.0001
+    # Wider than what lies within the slack on both sides of a number, so that it falls into two cells at most.
+    width, slack = 2.02 * tolerance, tolerance * 1.0001
 
     def cells(p: Column) -> Column:
         return F.array_distinct(F.array(F.floor((p - slack) / width), F.floor((p + slack) / width)))

@@ -66,5 +66,16 @@ def test_predictions(spark):
     assert got == [(2, 1), (9, 1), (13, 12)]
 
 
+def test_predictions_against_brute_force(spark):
+    draw = random.Random(8)
+    rows = []
+    for k in range(1500):
+        base = draw.randrange(40) * 0.013
+        rows.append((k, "t", draw.choice(["train", "test"]), "x", {"a": 0.1 + draw.randrange(-20, 20) * 1e-7, "b": base + draw.randrange(-20, 20) * 1e-7, "c": 0.2}, "a", "z"))
+    predictions = spark.createDataFrame(rows, "pred_id long, task string, split string, config string, probabilities map<string,double>, label string, p string")
+    want = {(e[0], t[0]) for e in rows if e[2] == "test" for t in rows if t[2] == "train" if all(abs(e[4][o] - t[4][o]) <= 0.000002 * (1 + 1e-9) for o in "abc")}
+    assert {(r.eval_id, r.train_id) for r in overlap.prediction_pairs(predictions).collect()} == want
+
+
 def test_empty(spark):
     assert overlap.sample_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
