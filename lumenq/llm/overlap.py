@@ -312,9 +312,25 @@ def prediction_pairs(predictions: DataFrame, tolerance: float = TOLERANCE) -> Da
     return both.where(apart <= tolerance * (1 + 1e-9)).select("eval_id", "train_id").distinct()
 
 
-def report(pairs: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
+def sample_links(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per evaluation sample that overlaps: ``eval_id``, its class ``key``, and its number of ``links``.
+
+    Links are added up class by class; no class is expanded into pairs.
+    """
+    links, members = sample_overlaps(samples, similarity)
+    trains = members.where("train").groupBy(F.col("key").alias("kt")).agg(F.count(F.lit(1)).alias("n"))
+    per_class = links.join(trains, F.col("train_key") == F.col("kt")).groupBy("eval_key").agg(F.sum("n").alias("links"))
+    evals = members.where(~F.col("train")).select("key", F.col("id").alias("eval_id"))
+    return evals.join(per_class, F.col("key") == F.col("eval_key")).select("eval_id", "key", "links")
+
+
+def prediction_links(predictions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per evaluation prediction that recurs: ``eval_id`` and its number of ``links``."""
+    return prediction_pairs(predictions, tolerance).groupBy("eval_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+def report(links: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:
     """Per split and task: rows, rows that overlap with the training split, and links."""
     of = rows.select(F.col(id_column).alias("i__"), clean(F.col("split")).alias("split"), clean(F.col("task")).alias("task")).where(F.col("split") != _TRAIN)
-    linked = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("l"))
-    joined = of.join(linked, F.col("i__") == F.col("eval_id"), "left")
+    joined = of.join(links.select("eval_id", F.col("links").alias("l")), F.col("i__") == F.col("eval_id"), "left")
     return joined.groupBy("split", "task").agg(F.count(F.lit(1)).alias("rows"), F.count("l").alias("overlapping"), F.coalesce(F.sum("l"), F.lit(0)).alias("links"))

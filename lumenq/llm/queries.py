@@ -27,12 +27,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = load(spark, sf_dir, "samples")
-    return overlap.report(overlap.sample_pairs(samples), samples, "sample_id")
+    return overlap.report(overlap.sample_links(samples), samples, "sample_id")
 
 
 def p3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions = load(spark, sf_dir, "predictions")
-    return overlap.report(overlap.prediction_pairs(predictions), predictions, "pred_id")
+    return overlap.report(overlap.prediction_links(predictions), predictions, "pred_id")
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,16 +117,28 @@ QUERIES = {
 _CLEAN = r"lower(trim(replace({0}, '_', ' '), e' \t\n\r'))"
 _TRAIN = r"lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) = 'train'"
 _NAME = r"lower(regexp_replace(replace({0}, '_', ' '), '^\s+|\s+$', '', 'g'))"
-SQL = {
-    "p3_found": rf"""
+_OVERLAPS = rf"""
 WITH s AS (SELECT sample_id AS id, {_TRAIN} AS tr, list_distinct(list_transform(regexp_extract_all(state, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))) AS w FROM samples WHERE state IS NOT NULL AND split IS NOT NULL),
 c AS (SELECT a.id AS x, b.id AS y, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS t FROM s a JOIN s b ON a.tr AND NOT b.tr AND len(a.w) >= 0.7 * len(b.w) AND len(b.w) >= 0.7 * len(a.w)),
 p AS (SELECT pred_id AS id, task, {_TRAIN} AS tr, {_NAME.format("label")} AS lab, list_sort(list_transform(map_entries(probabilities), lambda e: {{'o': {_NAME.format("e.key")}, 'p': e.value}})) AS d
   FROM predictions WHERE label IS NOT NULL AND split IS NOT NULL AND task IS NOT NULL AND cardinality(probabilities) > 0),
 q AS (SELECT a.id AS x, b.id AS y FROM p a JOIN p b ON a.tr AND NOT b.tr AND a.task = b.task AND a.lab = b.lab AND list_transform(a.d, lambda e: e.o) = list_transform(b.d, lambda e: e.o)
-  WHERE list_max(list_transform(range(1, len(a.d) + 1), lambda i: abs(a.d[i].p - b.d[i].p))) <= 0.000002000001::DOUBLE)
+  WHERE list_max(list_transform(range(1, len(a.d) + 1), lambda i: abs(a.d[i].p - b.d[i].p))) <= 0.000002000001::DOUBLE)"""
+_REPORT = """, n AS (SELECT y, count(DISTINCT x) AS l FROM {pairs} GROUP BY y)
+SELECT {split} AS split, {task} AS task, count(*) AS rows, count(l) AS overlapping, coalesce(sum(l), 0)::BIGINT AS links FROM {table} LEFT JOIN n ON y = {key} WHERE {split} <> 'train' GROUP BY 1, 2"""
+_LOWER = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
+
+
+def _report_sql(pairs: str, table: str, key: str) -> str:
+    return _OVERLAPS + _REPORT.format(pairs=pairs, table=table, key=key, split=_LOWER.format("split"), task=_LOWER.format("task"))
+
+
+SQL = {
+    "p3_found": _OVERLAPS + """
 SELECT DISTINCT 'sample' AS rec, least(x, y) AS id_a, greatest(x, y) AS id_b FROM c WHERE t > n AND n >= 0.7 * (t - n)
 UNION ALL SELECT DISTINCT 'prediction', least(x, y), greatest(x, y) FROM q""",
+    "p3_samples": _report_sql("(SELECT x, y FROM c WHERE t > n AND n >= 0.7 * (t - n))", "samples", "sample_id"),
+    "p3_predictions": _report_sql("q", "predictions", "pred_id"),
     "p5_found": f"""
 WITH h AS (SELECT source, {_CLEAN.format("label")} AS lk, count(DISTINCT labelled_id) AS h FROM labelled GROUP BY 1, 2)
 SELECT DISTINCT t.source_name, t.label FROM targets t JOIN sources s USING (source_name)

@@ -31,6 +31,8 @@ def test_samples_against_brute_force(spark):
     got = {(r.eval_id, r.train_id) for r in overlap.sample_pairs(samples).collect()}
     assert got == brute(rows, 0.7)
     assert (901, 900) in got
+    links = {r.eval_id: r.links for r in overlap.sample_links(samples).collect()}
+    assert links == {e: sum(x == e for x, _ in got) for e, _ in got}
 
 
 def test_passages_are_disjoint_and_enough():
