@@ -49,10 +49,10 @@ _MAIL_WORDS = re.compile(r"(?<![\w.+-])\w[\w.+-]*\sat\s[\w-]+(?:\sdot\s[\w-]+)+"
 _MAILS = (("sign", _MAIL), ("brackets", _MAIL_BRACKETS), ("words", _MAIL_WORDS))
 _SPACE = re.compile(r"\s")
 #: A stretch that is long enough for a number of interest; patterns are tried there only.
-_NUMBER = re.compile(r"\d[\d ().+/\u00a0-]{7,}|[a-z]{2}\d{6}[a-d](?!\w)")
+_NUMBER = re.compile(r"\d[\d\s().+/-]{7,}|[a-z]{2}\d{6}[a-d](?!\w)")
 _GAP = re.compile(r"[\s/,()<>|;:-]{1,5}$")
 _PHONES = [
-    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d\s)(?=\d))(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{4}}(?!\d))"))
+    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d[^\S\n])(?=\d))(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{4}}(?!\d))"))
     for name, pattern in (
         ("us", r"(?:\+1[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}"),
         ("uk", r"(?:\+44\s?(?:\(0\)\s?)?|0)(?:\d{2}\s\d{4}\s\d{4}|7\d{3}\s\d{3}\s?\d{3}|\d{4}\s\d{6}|\d{3}\s\d{3}\s\d{4})"),
@@ -63,7 +63,7 @@ _PHONES = [
     )
 ]
 _IDS = [
-    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?<!\d\s)(?:{pattern})(?![\w])(?!-\d)", re.I))
+    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?<!\d[^\S\n])(?:{pattern})(?![\w])(?!-\d)", re.I))
     for name, pattern in (
         ("ssn", r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}"),
         ("nino", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]"),
