@@ -133,7 +133,17 @@ def _report_sql(pairs: str, table: str, key: str) -> str:
     return _OVERLAPS + _REPORT.format(pairs=pairs, table=table, key=key, split=_LOWER.format("split"), task=_LOWER.format("task"))
 
 
+_PLAIN = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+_RECORDS = rf"""
+WITH e AS (SELECT example_id, state, {_PLAIN.format("family")} AS family, json_valid(state) AND starts_with(trim(state, e' \t\r\n'), '{{') AS obj FROM examples WHERE trim(state, e' \t\r\n') <> ''),
+t AS (SELECT example_id, lower(regexp_replace(j.fullkey, '[^\p{{L}}\p{{N}}\[\].]+', '', 'g')) AS k,
+    CASE j.type WHEN 'VARCHAR' THEN 's' || {_PLAIN.format("json_extract_string(j.value, '$')")} WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' ELSE j.type || j.atom END AS v
+  FROM (SELECT * FROM e WHERE obj) x, json_tree(x.state) j),
+c AS (SELECT example_id, 'o' || string_agg(k || '=' || v, '|' ORDER BY k, v) AS c FROM t GROUP BY example_id UNION ALL SELECT example_id, 't' || {_PLAIN.format("state")} FROM e WHERE NOT obj),
+r AS (SELECT example_id, family, min(example_id) OVER (PARTITION BY family, c) AS keep_id, state FROM c JOIN e USING (example_id))"""
 SQL = {
+    "p2_found": _RECORDS + " SELECT DISTINCT keep_id, example_id AS dup_id FROM r WHERE keep_id <> example_id",
+    "p2_records": _RECORDS + " SELECT keep_id, r.family AS family_key, count(*) AS copies, count(DISTINCT x.family || '|' || r.state) AS writings FROM r JOIN examples x USING (example_id) GROUP BY keep_id, r.family",
     "p3_found": _OVERLAPS + """
 SELECT DISTINCT 'sample' AS rec, least(x, y) AS id_a, greatest(x, y) AS id_b FROM c WHERE t > n AND n >= 0.7 * (t - n)
 UNION ALL SELECT DISTINCT 'prediction', least(x, y), greatest(x, y) FROM q""",
