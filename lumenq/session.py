@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
