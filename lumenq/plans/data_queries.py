@@ -208,7 +208,8 @@ def gen9(spark, sf):
 
 def gen10(spark, sf):
     rows = load(spark, sf, "samples").where(F.length("state") > 0).select("sample_id", F.transform(text.words(F.col("state")), lambda w: F.length(w)).alias("ids"))
-    padded, mask, last = training.collate(F.col("ids"), 64)
+    rows = training.batch_width(rows, "ids", F.floor(F.col("sample_id") / 8))
+    padded, mask, last = training.collate(F.col("ids"), F.col("width"))
     return rows.select("sample_id", F.aggregate(padded, F.lit(0), lambda a, b: a + b).cast("long").alias("id_sum"), F.aggregate(mask, F.lit(0), lambda a, b: a + b).cast("long").alias("used"), last.cast("long").alias("last"))
 
 
@@ -406,7 +407,7 @@ w AS (SELECT *, list_transform(options, lambda o: exp(-1.5 * abs(list_position(l
 SELECT id, array_to_string(options, '|') AS shown, CAST(unnest(range(len(e))) AS INT) AS k, round(unnest(list_transform(e, lambda x: x / list_sum(e))), 6) AS t FROM w""",
     "GEN7_build": f"""WITH {USABLE}, a AS (SELECT CASE WHEN {_H("0", "id", "14")} < 0.3 THEN 'noul' ELSE 'choice' END AS type, {_H("0", "id", "13")} < 0.1 AS n FROM us WHERE source = 'desk_routes')
 SELECT type, false AS is_null, count(*) AS rows FROM a GROUP BY type UNION ALL SELECT type, true, count(*) FROM a WHERE n GROUP BY type""",
-    "GEN10_collate": r"WITH w AS (SELECT sample_id, list_transform(regexp_extract_all(state, '( ?\S+|\s)', 1), lambda w: length(w)) AS ids FROM samples WHERE length(state) > 0) SELECT sample_id, list_sum(ids[1:64])::BIGINT AS id_sum, least(len(ids), 64) AS used, least(len(ids), 64) - 1 AS last FROM w",
+    "GEN10_collate": r"WITH w AS (SELECT sample_id, list_transform(regexp_extract_all(state, '( ?\S+|\s)', 1), lambda w: length(w)) AS ids FROM samples WHERE length(state) > 0) SELECT sample_id, list_sum(ids)::BIGINT AS id_sum, len(ids) AS used, len(ids) - 1 AS last FROM w",
     "AGG19_centroids": f"WITH {_CENT} SELECT label::BIGINT AS label, CAST(unnest(range(64)) AS INT) AS k, round(unnest(c), 6) AS v FROM cent",
     "VEC2_rank": f"WITH {_CENT} SELECT vec_id, CAST(unnest(range(len(s))) AS INT) AS k, round(unnest(s), 6) AS v FROM sc",
     "VEC4_centroid_classifier": f"WITH {_CENT}, pp AS (SELECT label, {_SOFT50} AS p FROM sc) SELECT label::BIGINT AS label, count(*) AS n, round(avg(CAST(list_position(p, list_max(p)) - 1 = label AS INT)), 6) AS accuracy, round(avg(list_sum(list_transform(range(1, 11), lambda k: pow(p[k] - CASE WHEN k - 1 = label THEN 1 ELSE 0 END, 2)))), 6) AS brier FROM pp GROUP BY label",
