@@ -287,9 +287,9 @@ def str4(spark, sf):
     return got.agg(F.count(F.lit(1)).alias("moments"), F.max("in_flight").alias("most"))
 
 
-def str5(spark, sf):
+def str5(spark, sf, most: int = routing.RECENT):
     rows = load(spark, sf, "traffic_log").where((F.col("kind") == "ask") & F.col("id").isNotNull())
-    return routing.recent(rows, "log_pos", 500).select("log_pos")
+    return routing.recent(rows, "log_pos", most).select("log_pos")
 
 
 def str6(spark, sf):
@@ -418,7 +418,7 @@ SELECT type, false AS is_null, count(*) AS rows FROM a GROUP BY type UNION ALL S
     "STR1_log_volume": "SELECT epoch_us(date_trunc('hour', received_at)) AS hour_us, kind, count(*) AS rows FROM traffic_log GROUP BY ALL",
     "STR4_queue_cap": """WITH m AS (SELECT t, sum(d) AS d FROM (SELECT epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT epoch_us(ts) + 1800000000, -1 FROM events) GROUP BY t),
 r AS (SELECT sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS f FROM m) SELECT count(*) AS moments, max(f) AS most FROM r WHERE f > 8""",
-    "STR5_recent": "SELECT log_pos FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 500",
+    "STR5_recent": "SELECT log_pos FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 100000",
     "STR6_null_prior": rf"""WITH e AS (SELECT example_id, lower({_STRIP.format("family")}) AS family, teacher FROM examples), u AS (SELECT family, unnest(range(1, len(teacher) + 1)) AS k, unnest(teacher) AS x FROM e),
 pr AS (SELECT family, list(m ORDER BY k) AS prior FROM (SELECT family, k, avg(x) AS m FROM u GROUP BY family, k) GROUP BY family),
 d AS (SELECT example_id, list_transform(list_zip(teacher, prior), lambda s: s[1] / greatest(s[2], 1e-12)) AS v FROM e JOIN pr USING (family) WHERE len(teacher) = len(prior))

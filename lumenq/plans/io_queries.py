@@ -102,10 +102,10 @@ def jon5(spark, sf):
     return joined.select("example_id", (F.size("student") == F.size("teacher")).alias("aligned"))
 
 
-def jon9(spark, sf):
+def jon9(spark, sf, most: int = routing.RECENT):
     """Outcomes whose request is among the recent asks."""
     log = load(spark, sf, "traffic_log").where(F.col("id").isNotNull())
-    recent = routing.recent(log.where(F.col("kind") == "ask"), "log_pos", 500).select(F.col("id").alias("rid")).distinct()
+    recent = routing.recent(log.where(F.col("kind") == "ask"), "log_pos", most).select(F.col("id").alias("rid")).distinct()
     return log.where(F.col("kind") == "outcome").join(recent, F.col("id") == F.col("rid"), "left_semi").select("log_pos")
 
 
@@ -214,9 +214,9 @@ def prj18(spark, sf):
     return got.select("id", "name", F.size("v").cast("long").alias("options"), F.round(dist.total(F.col("v")), 3).alias("mass"))
 
 
-def top7(spark, sf):
+def top7(spark, sf, most: int = routing.RECENT):
     rows = load(spark, sf, "traffic_log").where((F.col("kind") == "ask") & F.col("id").isNotNull())
-    kept = routing.recent(rows.groupBy("id").agg(F.max("log_pos").alias("log_pos")), "log_pos", 300)
+    kept = routing.recent(rows.groupBy("id").agg(F.max("log_pos").alias("log_pos")), "log_pos", most)
     return kept.select("id", "log_pos")
 
 
@@ -237,7 +237,7 @@ SQL = {
     "SNK6_wire": f"WITH {FACTS} SELECT id, n::BIGINT AS input_tokens, 0::BIGINT AS output_tokens FROM f WHERE task = 'desk routes'",
     "WIN4_equal_mass": f"WITH {FACTS} SELECT id, ntile(10) OVER (PARTITION BY task ORDER BY list_max(p), id) AS chunk FROM f",
     "JON5_pairing": "SELECT example_id, json_array_length(shadow, '$.probabilities') = len(teacher) AS aligned FROM examples WHERE shadow IS NOT NULL",
-    "JON9_recent_lookup": "SELECT log_pos FROM traffic_log WHERE kind = 'outcome' AND id IN (SELECT id FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 500)",
+    "JON9_recent_lookup": "SELECT log_pos FROM traffic_log WHERE kind = 'outcome' AND id IN (SELECT id FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 100000)",
     "VEC7_pooling": "SELECT vec_id, CAST(unnest(range(16)) AS INT) AS k, round(unnest(list_transform(range(1, 17), lambda i: (embedding[i]::DOUBLE + embedding[16 + i]::DOUBLE + embedding[32 + i]::DOUBLE) / 3)), 6) AS v FROM embeddings",
     "VEC6_rerank": f"WITH {FACTS}, o AS (SELECT id, list_transform(p, lambda x: x / (1 - x)) AS o FROM f) SELECT id, CAST(unnest(range(len(o))) AS INT) AS k, round(unnest(list_transform(o, lambda x: x / list_sum(o))), 6) AS v FROM o",
     "VEC10_typed_answer": f"""WITH {QUESTIONS}, e AS (SELECT example_id, lower(regexp_replace(family, '^\\s+|\\s+$', '', 'g')) AS family, teacher AS t FROM examples)
@@ -246,5 +246,5 @@ SELECT example_id, qtype, CASE WHEN qtype = 'choice' THEN options[list_position(
     "TOP4_best": f"WITH {FACTS}, s AS (SELECT id, options, list_sort(list_transform(range(1, n + 1), lambda i: {{'s': -p[i], 'i': i}}))[1:5] AS b FROM f) SELECT id, CAST(unnest(range(len(b))) AS INT) AS k, unnest(list_transform(b, lambda x: options[x.i])) AS option FROM s",
     "STR2_stream_join": "SELECT id, max(log_pos) FILTER (WHERE kind = 'ask') AS ask_pos, coalesce(max(log_pos) FILTER (WHERE kind = 'outcome'), -1) AS outcome_pos FROM traffic_log WHERE id IS NOT NULL GROUP BY id HAVING count(*) FILTER (WHERE kind = 'ask') > 0",
     "PRJ18_answer_distribution": f"WITH {_EX} SELECT request_id AS id, question AS name, len(teacher) AS options, round(list_sum(teacher), 3) AS mass FROM ex",
-    "TOP7_recent_ids": "SELECT id, max(log_pos) AS log_pos FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL GROUP BY id ORDER BY 2 DESC LIMIT 300",
+    "TOP7_recent_ids": "SELECT id, max(log_pos) AS log_pos FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL GROUP BY id ORDER BY 2 DESC LIMIT 100000",
 }

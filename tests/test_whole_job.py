@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenq.operators import training
+from lumenq.operators import routing, training
+from lumenq.plans import data_queries, io_queries
 
 
 def test_collate_pads_to_the_longest_row_and_cuts_nothing(spark):
@@ -14,3 +15,16 @@ def test_collate_pads_to_the_longest_row_and_cuts_nothing(spark):
     assert got[8].ids == [3] and got[8].last == 0
     with pytest.raises(Exception, match="longer than its batch"):
         rows.select(training.collate(F.col("ids"), F.lit(99))[0]).collect()
+
+
+def test_recent_window_is_that_of_the_server(spark, tmp_path):
+    asks = [(k, "ask", f"r{k}") for k in range(700)]
+    rows = spark.createDataFrame([*asks, (700, "outcome", "r0"), (701, "outcome", "r699"), (702, "outcome", "other")], "log_pos long, kind string, id string")
+    rows.write.parquet(str(tmp_path / "traffic_log.parquet"))
+    sf = str(tmp_path)
+    assert routing.RECENT == 100_000
+    assert {r.log_pos for r in io_queries.jon9(spark, sf).collect()} == {700, 701}
+    assert data_queries.str5(spark, sf).count() == 700 and io_queries.top7(spark, sf).count() == 700
+    assert {r.log_pos for r in io_queries.jon9(spark, sf, 2).collect()} == {701}
+    assert {r.log_pos for r in data_queries.str5(spark, sf, 2).collect()} == {698, 699}
+    assert {r.id for r in io_queries.top7(spark, sf, 2).collect()} == {"r698", "r699"}
