@@ -28,3 +28,10 @@ def test_recent_window_is_that_of_the_server(spark, tmp_path):
     assert {r.log_pos for r in io_queries.jon9(spark, sf, 2).collect()} == {701}
     assert {r.log_pos for r in data_queries.str5(spark, sf, 2).collect()} == {698, 699}
     assert {r.id for r in io_queries.top7(spark, sf, 2).collect()} == {"r698", "r699"}
+
+
+def test_stream_of_hours_keeps_the_last_day(spark, tmp_path):
+    times = ["2024-01-01 00:10:00", "2024-01-01 00:50:00", "2024-01-03 10:00:00", "2024-01-04 09:59:00", "2024-01-04 10:00:00"]
+    rows = spark.createDataFrame([(k, t, "a" if k < 4 else None) for k, t in enumerate(times)], "event_id long, ts string, event_type string")
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.event_type: r.closed for r in io_queries.str2_hours(spark, str(tmp_path)).collect()} == {"a": 4, None: 1}
