@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The wording of prompts.
@@ -74,6 +74,12 @@ def continuation(context: Column, full: Column) -> Column:
     return F.when(fits, rest).otherwise(F.raise_error(F.lit("a continuation must follow its context")).cast("array<string>"))
 
 
+def differing_labels(own: DataFrame, other: DataFrame) -> DataFrame:
+    """Label tokens (``letter``, ``ids``) that another model encodes differently or not at all; ids are whole lists."""
+    there = other.select(F.col("letter").alias("l__"), F.col("ids").alias("i__"))
+    return own.join(there, (F.col("letter") == F.col("l__")) & F.col("ids").eqNullSafe(F.col("i__")), "left_anti")
+
+
 def words(text: Column) -> Column:
     """The test tokenizer: an optional space and a run without space, or one white space."""
     return F.regexp_extract_all(text, F.lit(r"( ?\S+|\s)"), F.lit(1))

@@ -144,14 +144,25 @@ def tok1(spark, sf):
     return rows.join(nxt, F.col("sample_id") == F.col("before")).select("sample_id", text.match_length(F.col("w"), F.col("v")).cast("long").alias("common"))
 
 
+def _prompts(spark, sf):
+    """Each example with its rendered prefix and its family's question."""
+    ex = load(spark, sf, "examples").where(F.col("state").isNotNull()).select("example_id", F.lower(text.strip(F.col("family"))).alias("f__"), text.prefix(F.col("state")).alias("prefix"))
+    return ex.join(F.broadcast(family_questions(spark, sf)), F.col("f__") == F.col("family")).withColumn("lines", text.option_lines(F.col("options"), F.col("descriptions")))
+
+
 def tok2(spark, sf):
-    rows = load(spark, sf, "samples").where(F.length("state") > 40).select("sample_id", text.words(F.col("state")).alias("w"))
-    return rows.select("sample_id", text.shared_prefix_length(F.slice("w", 1, 4), F.array(F.concat(F.slice("w", 1, 4), F.array(F.lit(" a"))), F.concat(F.slice("w", 1, 3), F.array(F.lit(" b")))), 1).cast("long").alias("shared"))
+    """Tokens of the prefix that the prompts of the family's letter and sequence branch share."""
+    branches = F.array(text.letter_branch(F.col("instructions"), F.col("lines")), text.sequence_branch(F.col("instructions"), F.col("lines")))
+    rows = _prompts(spark, sf).select("example_id", text.words(F.col("prefix")).alias("w"), F.transform(branches, lambda b: text.words(F.concat("prefix", b))).alias("whole"))
+    return rows.select("example_id", text.shared_prefix_length(F.col("w"), F.col("whole"), 1).cast("long").alias("shared"))
 
 
 def tok3(spark, sf):
-    rows = load(spark, sf, "samples").where(F.length("state") > 40).select("sample_id", text.words(F.col("state")).alias("w"))
-    return rows.select("sample_id", F.array_join(text.continuation(F.slice("w", 1, 2), F.slice("w", 1, 4)), "").alias("rest"))
+    """Each option's tokens, cut off the joint encoding behind the whole prompt."""
+    rows = _prompts(spark, sf).withColumn("context", F.concat("prefix", text.sequence_branch(F.col("instructions"), F.col("lines"))))
+    each = rows.select("example_id", "context", text.words(F.col("context")).alias("w"), F.posexplode("options").alias("k", "option"))
+    rest = text.continuation(F.col("w"), text.words(F.concat("context", F.lit(" "), "option")))
+    return each.select("example_id", "k", F.size("w").cast("long").alias("context_tokens"), F.array_join(rest, "").alias("rest"))
 
 
 def usage(spark, sf):
@@ -195,6 +206,8 @@ _LINES = "list_transform(list_zip(options, descriptions), lambda s: CASE WHEN s[
 _UNNEST = "CAST(unnest(range(len({v}))) AS INT) AS k, unnest({v})"
 _PREFIX = "'" + text.PREFIX + "' || state || '" + text.PREFIX_END + "'"
 _BRANCH = f"'{text.QUESTION}' || instructions || chr(10) || array_to_string(list_transform(range(1, len(options) + 1), lambda i: chr((64 + i)::INT) || ') ' || {_LINES}[i]), chr(10)) || '{text.QUESTION_END}'"
+_SEQUENCE = f"'{text.QUESTION}' || instructions || '{text.SEQUENCE_LINE}' || array_to_string(list_transform({_LINES}, lambda l: '- ' || l), chr(10)) || '{text.QUESTION_END}'"
+_PROMPTS = rf"""{QUESTIONS}, pr AS (SELECT example_id, {_PREFIX} AS prefix, {_BRANCH} AS letter, {_SEQUENCE} AS sequence, options FROM examples e JOIN q ON q.family = lower(regexp_replace(e.family, '^\s+|\s+$', '', 'g')) WHERE state IS NOT NULL)"""
 _WORDS = r"regexp_extract_all({0}, '( ?\S+|\s)', 1)"
 _EX = r"""a AS (SELECT id, questions, answers, served_by FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY log_pos DESC) AS r FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL) WHERE r = 1),
 qs AS (SELECT id AS request_id, unnest(json_keys(questions)) AS question, questions, answers, served_by FROM a),
@@ -234,6 +247,9 @@ AND (shadow->>'head', CAST(shadow->>'version' AS INT)) IN (('head:61aee44b46304c
     "FLT3_family": f"WITH {_EXPORTED} SELECT example_id FROM e WHERE family = '61aee44b46304ceb'",
     "TOK1_match_length": f"""WITH w AS (SELECT sample_id, {_WORDS.format("state")} AS w FROM samples WHERE state IS NOT NULL)
 SELECT a.sample_id, (SELECT count(*) FROM range(1, least(len(a.w), len(b.w)) + 1) t(i) WHERE a.w[1:i] = b.w[1:i]) AS common FROM w a JOIN w b ON b.sample_id = a.sample_id + 1""",
-    "TOK2_shared_prefix": "SELECT sample_id, 3::BIGINT AS shared FROM samples WHERE length(state) > 40",
-    "TOK3_continuation": f"SELECT sample_id, array_to_string({_WORDS.format('state')}[3:4], '') AS rest FROM samples WHERE length(state) > 40",
+    "TOK2_shared_prefix": f"""WITH {_PROMPTS}, w AS (SELECT example_id, {_WORDS.format("prefix")} AS w, unnest([{_WORDS.format("prefix || letter")}, {_WORDS.format("prefix || sequence")}]) AS v FROM pr)
+SELECT example_id, min(coalesce(list_position(list_transform(range(1, len(w) + 1), lambda i: i <= len(v) AND w[i] = v[i]), false) - 1, len(w)))::BIGINT AS shared FROM w GROUP BY example_id""",
+    "TOK3_continuation": f"""WITH {_PROMPTS}, o AS (SELECT example_id, prefix || sequence AS context, CAST(unnest(range(len(options))) AS INT) AS k, unnest(options) AS option FROM pr),
+w AS (SELECT example_id, k, {_WORDS.format("context")} AS w, {_WORDS.format("context || ' ' || option")} AS v FROM o)
+SELECT example_id, k, len(w) AS context_tokens, array_to_string(v[len(w) + 1:], '') AS rest FROM w WHERE v[1:len(w)] = w""",
 }

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lumenq.functions import text
 from lumenq.operators import routing, training
-from lumenq.plans import data_queries, io_queries
+from lumenq.plans import data_queries, io_queries, traffic_queries
 
 
 def test_collate_pads_to_the_longest_row_and_cuts_nothing(spark):
@@ -35,3 +36,22 @@ def test_stream_of_hours_keeps_the_last_day(spark, tmp_path):
     rows = spark.createDataFrame([(k, t, "a" if k < 4 else None) for k, t in enumerate(times)], "event_id long, ts string, event_type string")
     rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert {r.event_type: r.closed for r in io_queries.str2_hours(spark, str(tmp_path)).collect()} == {"a": 4, None: 1}
+
+
+def test_prefix_and_continuation_over_whole_prompts(spark, tmp_path):
+    state = "one two three four five six seven"
+    spark.createDataFrame([(1, " F ", state)], "example_id long, family string, state string").write.parquet(str(tmp_path / "examples.parquet"))
+    question = [("f", "n", "choice", "Which one?", [("card limit", None, None), ("refund", "money back", None)])]
+    spark.createDataFrame(question, "family string, qname string, qtype string, instructions string, criteria array<struct<opt:string,descr:string,val:double>>").write.parquet(str(tmp_path / "questions.parquet"))
+    prefix = spark.range(1).select(F.size(text.words(text.prefix(F.lit(state)))).alias("n")).first().n
+    assert [(r.example_id, r.shared) for r in traffic_queries.tok2(spark, str(tmp_path)).collect()] == [(1, prefix)]
+    rest = traffic_queries.tok3(spark, str(tmp_path)).orderBy("k").collect()
+    assert [r.rest for r in rest] == [" card limit", " refund"] and all(r.context_tokens > prefix for r in rest)
+    seam = spark.createDataFrame([(["a", "b", "\n"], [["a", "b", "\n\n", "x"], ["a", "b", "\n", "y"]])], "w array<string>, whole array<array<string>>")
+    assert seam.select(text.shared_prefix_length(F.col("w"), F.col("whole")).alias("n")).first().n == 2
+
+
+def test_differing_labels(spark):
+    own = spark.createDataFrame([("A", [1]), ("B", [2, 3]), ("C", [4])], "letter string, ids array<int>")
+    other = spark.createDataFrame([("A", [1]), ("B", [2]), ("D", [4])], own.schema)
+    assert sorted(r.letter for r in text.differing_labels(own, other).collect()) == ["B", "C"]
