@@ -28,11 +28,11 @@ def _samples(spark, sf):
 
 def src1(spark, sf):
     """CSV: two files in order, quotes and line breaks inside fields."""
-    rows = _samples(spark, sf).where(F.col("state").isNotNull() & F.col("label").isNotNull() & ~F.col("state").contains("\\") & ~F.col("state").contains("\r"))
+    rows = _samples(spark, sf).where(F.col("state").isNotNull() & F.col("label").isNotNull())
     paths = [_place(spark, "csv") for _ in range(2)]
     for k, path in enumerate(paths):
-        rows.where(F.col("sample_id") % 2 == k).write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    back = readers.read_csv(spark, paths)
+        rows.where(F.col("sample_id") % 2 == k).write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = readers.read_csv(spark, paths, line_sep="\n")
     return back.select(F.col("sample_id").cast("long").alias("sample_id"), F.col("file_no").cast("long").alias("file_no"), F.length("state").cast("long").alias("chars"))
 
 
@@ -86,7 +86,7 @@ def snk5(spark, sf):
 
 
 def snk6(spark, sf):
-    rows = facts(spark, sf).where(F.col("task") == "desk routes").select("id", sinks.wire_result(F.map_from_arrays("options", F.transform("p", lambda x: F.round(x, 2))), F.col("n")).alias("body"))
+    rows = facts(spark, sf).select("id", sinks.wire_result(F.map_from_arrays("options", F.transform("p", lambda x: F.round(x, 2))), F.col("n")).alias("body"))
     return rows.select("id", F.get_json_object("body", "$.usage.input_tokens").cast("long").alias("input_tokens"), F.get_json_object("body", "$.usage.output_tokens").cast("long").alias("output_tokens"))
 
 
@@ -233,14 +233,14 @@ QUERIES = {
 }
 
 SQL = {
-    "SRC1_csv": r"SELECT sample_id, sample_id % 2 AS file_no, length(state) AS chars FROM samples WHERE state IS NOT NULL AND label IS NOT NULL AND NOT contains(state, '\') AND NOT contains(state, chr(13))",
+    "SRC1_csv": r"SELECT sample_id, sample_id % 2 AS file_no, length(state) AS chars FROM samples WHERE state IS NOT NULL AND label IS NOT NULL",
     "SRC3_jsonl_gz": "SELECT sample_id, task, state, label FROM samples",
     "SRC4_parquet_columns": "SELECT sample_id, task FROM samples",
     "SRC7_dispatch": "SELECT sample_id, label FROM samples",
     "SRC9_log": "SELECT kind, count(*) AS rows, count(DISTINCT id) AS ids, count(*) AS positions FROM traffic_log WHERE id IS NOT NULL AND (kind = 'ask' OR outcomes IS NOT NULL) GROUP BY kind",
     "SRC10_prediction_files": f"WITH {FACTS} SELECT CASE WHEN split = 'train' THEN 0 ELSE 1 END::BIGINT AS half, count(*) AS rows, round(avg(list_sum(list_transform(range(1, n + 1), lambda k: pow(p[k] - CASE WHEN k - 1 = y THEN 1 ELSE 0 END, 2)))), 6) AS brier FROM f WHERE task = 'desk routes' GROUP BY 1",
     "SRC12_distributions": f"WITH {FACTS} SELECT count(*) AS rows, sum(y)::BIGINT AS y_sum FROM f WHERE task = 'desk routes' AND config = 'plain'",
-    "SNK6_wire": f"WITH {FACTS} SELECT id, n::BIGINT AS input_tokens, 0::BIGINT AS output_tokens FROM f WHERE task = 'desk routes'",
+    "SNK6_wire": f"WITH {FACTS} SELECT id, n::BIGINT AS input_tokens, 0::BIGINT AS output_tokens FROM f",
     "WIN4_equal_mass": f"WITH {FACTS} SELECT id, ntile(10) OVER (PARTITION BY task ORDER BY list_max(p), id) AS chunk FROM f",
     "JON5_pairing": "SELECT example_id, json_array_length(shadow, '$.probabilities') = len(teacher) AS aligned FROM examples WHERE shadow IS NOT NULL",
     "JON9_recent_lookup": "SELECT log_pos FROM traffic_log WHERE kind = 'outcome' AND id IN (SELECT id FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 100000)",

@@ -33,11 +33,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
-def read_csv(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
-    """Rows of CSV files with a header, all text, quoted line breaks allowed; ``file_no`` keeps the files' order."""
+def read_csv(spark: SparkSession, paths: list[str], columns: list[str] | None = None, line_sep: str | None = None) -> DataFrame:
+    """Rows of CSV files with a header, all text, quoted line breaks allowed; ``file_no`` keeps the files' order.
+
+    With ``line_sep`` only that ends a row and carriage returns in fields stay; else it is detected.
+    """
     parts = []
     for k, path in enumerate(paths):
-        rows = spark.read.csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=FIELD_CHARS, encoding="UTF-8")
+        rows = spark.read.csv(path, header=True, multiLine=True, escape='"', maxCharsPerColumn=FIELD_CHARS, encoding="UTF-8", lineSep=line_sep)
         parts.append((rows.select(columns) if columns else rows).withColumn("file_no", F.lit(k)))
     out = parts[0]
     for part in parts[1:]:

@@ -55,3 +55,16 @@ def test_differing_labels(spark):
     own = spark.createDataFrame([("A", [1]), ("B", [2, 3]), ("C", [4])], "letter string, ids array<int>")
     other = spark.createDataFrame([("A", [1]), ("B", [2]), ("D", [4])], own.schema)
     assert sorted(r.letter for r in text.differing_labels(own, other).collect()) == ["B", "C"]
+
+
+def test_csv_keeps_carriage_returns_and_backslashes(spark, tmp_path):
+    texts = ["a\rb", "a\r\nb", "back\\slash", 'end\\"', "\r", " plain \r"]
+    rows = spark.createDataFrame([(k, "t", x, "l") for k, x in enumerate(texts)], "sample_id long, task string, state string, label string")
+    rows.write.parquet(str(tmp_path / "samples.parquet"))
+    got = {r.sample_id: r.chars for r in io_queries.src1(spark, str(tmp_path)).collect()}
+    assert got == {k: len(x) for k, x in enumerate(texts)}
+
+
+def test_wire_serialises_every_task(spark):
+    sf = "/root/testdata/sf0.001"
+    assert io_queries.snk6(spark, sf).count() == io_queries.facts(spark, sf).count()
