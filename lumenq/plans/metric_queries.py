@@ -79,7 +79,7 @@ def agg17(spark, sf):
 def agg18(spark, sf):
     """Verdicts of each configuration over the tasks."""
     rows = stats.differences(pairs(spark, sf).where(F.col("y").isNotNull()))
-    got = stats.intervals(rows, "family", stats.GatePolicy(resamples=400), "interpolated")
+    got = stats.intervals(rows, "family", method="interpolated")
     return got.select(stats.verdict(F.col("brier_lo"), F.col("brier_hi"), F.col("acc_lo"), F.col("acc_hi")).alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("families"))
 
 
@@ -122,7 +122,7 @@ def fit6(spark, sf):
 
 
 def fit7(spark, sf):
-    return rounded(fit.temperature_interval(facts(spark, sf), "task", 40), 4)
+    return rounded(fit.temperature_interval(facts(spark, sf), "task"), 4)
 
 
 def fit8(spark, sf):
@@ -141,11 +141,11 @@ def fit10(spark, sf):
 
 def fit11(spark, sf):
     rows = stats.differences(pairs(spark, sf).where(F.col("y").isNotNull()))
-    return rounded(stats.pooled(rows, "version", "family", stats.GatePolicy(resamples=300)))
+    return rounded(stats.pooled(rows, "version", "family"))
 
 
 def fit12(spark, sf):
-    return rounded(fit.ece_floor(confidences(facts(spark, sf)), BY, draws=20))
+    return rounded(fit.ece_floor(confidences(facts(spark, sf)), BY))
 
 
 def fit13(spark, sf):
@@ -300,7 +300,7 @@ SELECT task, round(any_value(t), 4) AS temperature, round(avg(ln(list_sum(list_t
         f"{FACTS}, u AS (SELECT *, {hash_unit_sql('0', 'id')} AS u FROM f), d AS (SELECT *, (row_number() OVER (PARTITION BY task, y ORDER BY u, id) - 1) % 3 AS fold FROM u), o AS (SELECT d.*, held FROM d, range(3) x(held) WHERE held <> fold)",
     )
     + " SELECT d.task, fold, count(*) AS n, round(any_value(t), 4) AS temperature FROM d JOIN fitted ON fitted.task = d.task || '|' || fold GROUP BY d.task, fold",
-    "FIT12_ece_floor": f"""WITH {CONF}{_MASS}, w AS (SELECT m.*, x.d FROM m, range(20) x(d)),
+    "FIT12_ece_floor": f"""WITH {CONF}{_MASS}, w AS (SELECT m.*, x.d FROM m, range(200) x(d)),
 g AS (SELECT task, d, chunk, abs(sum(CAST({hash_unit_sql("0", "id", "d")} < conf AS INT)) - sum(conf)) AS e, count(*) AS n FROM w GROUP BY task, d, chunk)
 SELECT task, round(avg(e), 6) AS ece_floor FROM (SELECT task, d, sum(e) / sum(n) AS e FROM g GROUP BY task, d) GROUP BY task""",
     "FIT14_verdict": f"""WITH {CONF}, s AS (SELECT task, avg({_P}) / 20 - 0.01 AS bl, avg({_P}) / 20 AS bh, avg(correct) / 10 - 0.07 AS al, avg(correct) / 10 - 0.03 AS ah FROM c GROUP BY task)

@@ -1,9 +1,11 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 from lumenq.functions import text
-from lumenq.operators import routing, training
-from lumenq.plans import data_queries, io_queries, traffic_queries
+from lumenq.operators import fit, routing, stats, training
+from lumenq.plans import data_queries, io_queries, metric_queries, traffic_queries
 
 
 def test_collate_pads_to_the_longest_row_and_cuts_nothing(spark):
@@ -68,3 +70,19 @@ def test_csv_keeps_carriage_returns_and_backslashes(spark, tmp_path):
 def test_wire_serialises_every_task(spark):
     sf = "/root/testdata/sf0.001"
     assert io_queries.snk6(spark, sf).count() == io_queries.facts(spark, sf).count()
+
+
+@pytest.mark.parametrize(("query", "module", "operator", "argument", "count"), [("fit7", fit, "temperature_interval", "resamples", 200), ("fit12", fit, "ece_floor", "draws", 200), ("fit11", stats, "pooled", "policy", 2000), ("agg18", stats, "intervals", "policy", 2000)])
+def test_registered_resamples_are_the_defaults(spark, monkeypatch, query, module, operator, argument, count):
+    real, used = getattr(module, operator), []
+
+    def spy(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        used.append(bound.arguments[argument])
+        raise LookupError
+
+    monkeypatch.setattr(module, operator, spy)
+    with pytest.raises(LookupError):
+        getattr(metric_queries, query)(spark, "/root/testdata/sf0.001")
+    assert [getattr(x, "resamples", x) for x in used] == [count]
