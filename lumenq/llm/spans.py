@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenq.llm.fmindex import shared_runs
@@ -240,9 +240,13 @@ def coverage(documents: DataFrame, least: int = LEAST, **kwargs) -> DataFrame:
     owners = members.groupBy("pid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     copies = members.join(owners.where("lo < hi").select(F.col("pid").alias("p")), F.col("pid") == F.col("p")).select("doc_id", F.col("begin").alias("s"), (F.col("begin") + F.col("size")).alias("e"))
     partner = owners.select(F.col("pid").alias("pb"), "lo", "hi")
-    # By piece and partner's owners first, so that a piece with many partners stays small.
-    spans = runs.join(partner, F.col("pid_b") == F.col("pb")).groupBy("pid_a", "a0").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("a1").alias("a1"), F.count(F.lit(1)).alias("n"))
-    own = members.join(spans, F.col("pid") == F.col("pid_a")).where("lo <> doc_id or hi <> doc_id").select("doc_id", (F.col("begin") + F.col("a0")).alias("s"), (F.col("begin") + F.col("a1")).alias("e"))
+    # By piece and the one owner of the partner (null: several), so that a document's own copy isn't
+    # counted as shared elsewhere; of each place the two longest, since a document rules out one at most.
+    sole = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
+    spans = runs.join(partner, F.col("pid_b") == F.col("pb")).groupBy("pid_a", "a0", sole.alias("sole")).agg(F.max("a1").alias("a1"))
+    longest = Window.partitionBy("pid_a", "a0").orderBy(F.desc("a1"), "sole")
+    spans = spans.withColumn("r", F.row_number().over(longest)).where("r <= 2")
+    own = members.join(spans, F.col("pid") == F.col("pid_a")).where("sole is null or sole <> doc_id").select("doc_id", (F.col("begin") + F.col("a0")).alias("s"), (F.col("begin") + F.col("a1")).alias("e"))
     ends = copies.unionByName(own).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
     merged = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
     empty = F.struct(F.lit(0).alias("spans"), F.lit(0).alias("chars"), F.lit(-1).alias("end"))

@@ -69,3 +69,12 @@ def test_suffix_array():
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert spans.pairs(empty).count() == 0 and spans.coverage(empty).count() == 0
+
+
+def test_own_copies_are_not_shared_elsewhere(spark, monkeypatch):
+    members = spark.createDataFrame([(1, 1, 0, 500), (2, 1, 1000, 500), (3, 2, 0, 300)], "pid long, doc_id long, begin int, size int")
+    found = [(1, 2, 0, 400, 0), (1, 3, 0, 300, 0), (2, 1, 0, 400, 0), (2, 3, 0, 300, 0), (3, 1, 0, 300, 0), (3, 2, 0, 300, 0)]
+    runs = spark.createDataFrame(found, "pid_a long, pid_b long, a0 int, a1 int, b0 int")
+    monkeypatch.setattr(spans, "shared_pieces", lambda *_, **__: (members, runs))
+    documents = spark.createDataFrame([(1, "x" * 1500), (2, "x" * 300)], "doc_id long, text string")
+    assert {r.doc_id: (r.spans, r.shared_chars) for r in spans.coverage(documents).collect()} == {1: (2, 600), 2: (1, 300)}
