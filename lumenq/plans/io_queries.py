@@ -205,7 +205,7 @@ def ent8(spark, sf):
     from lumenq.operators import fit
 
     rows = facts(spark, sf).withColumn("cell", F.concat_ws("|", "task", "config"))
-    crossed = fit.cross_fit(rows, "cell", 3)
+    crossed = fit.cross_fit(rows, "cell")
     raw = metrics.scores(rows, ["cell"]).select("cell", "n", "accuracy", "brier")
     after = metrics.scores(crossed.withColumn("p", F.col("scaled")), ["cell"]).select(F.col("cell").alias("c2"), F.col("brier").alias("brier_scaled"))
     return rounded(raw.join(after, F.col("cell") == F.col("c2")).drop("c2"), 4)

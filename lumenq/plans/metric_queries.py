@@ -77,7 +77,7 @@ def agg17(spark, sf):
 
 
 def agg18(spark, sf):
-    """Verdicts of each configuration over the tasks."""
+    """How many families get each verdict."""
     rows = stats.differences(pairs(spark, sf).where(F.col("y").isNotNull()))
     got = stats.intervals(rows, "family", method="interpolated")
     return got.select(stats.verdict(F.col("brier_lo"), F.col("brier_hi"), F.col("acc_lo"), F.col("acc_hi")).alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("families"))
@@ -96,11 +96,6 @@ def fit1(spark, sf):
     return rounded(fit.fit_temperature(fit.logits(facts(spark, sf), True), "task", (0.001, 20.0)), 4)
 
 
-def fit1_loop(spark, sf):
-    """The same by the loop of aggregations that large families take."""
-    return rounded(fit.fit_temperature(fit.logits(facts(spark, sf), True), "task", (0.001, 20.0), exact_rows=0), 4)
-
-
 def fit2(spark, sf):
     return rounded(fit.diagnose(facts(spark, sf), "task"), 4)
 
@@ -118,7 +113,7 @@ def fit5(spark, sf):
 
 
 def fit6(spark, sf):
-    return rounded(fit.cross_fit(facts(spark, sf), "task", 3).groupBy("task", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("temperature").alias("temperature")), 4)
+    return rounded(fit.cross_fit(facts(spark, sf), "task").groupBy("task", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("temperature").alias("temperature")), 4)
 
 
 def fit7(spark, sf):
@@ -198,7 +193,6 @@ QUERIES = {
     "AGG21_shape_counts": agg21,
     "AGG23_mean_sd": agg23,
     "FIT1_temperature": fit1,
-    "FIT1_temperature_loop": fit1_loop,
     "FIT2_diagnose": fit2,
     "FIT3_fit_predictions": fit3,
     "FIT4_fit_clipped": fit4,
@@ -233,7 +227,7 @@ it(i, task, a, b) AS (SELECT DISTINCT 0, task, ln({lo}::DOUBLE), ln({hi}::DOUBLE
   SELECT i + 1, task, CASE WHEN fc < fd THEN a ELSE c END, CASE WHEN fc < fd THEN d ELSE b END FROM (
     SELECT i, task, a, b, c, d, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / exp(c))))) + (list_max(z) - z[y + 1]) / exp(c)) AS fc,
            avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / exp(d))))) + (list_max(z) - z[y + 1]) / exp(d)) AS fd
-    FROM (SELECT *, b - 0.6180339887498949 * (b - a) AS c, a + 0.6180339887498949 * (b - a) AS d FROM it) JOIN r USING (task) WHERE b - a > 1e-4 GROUP BY ALL)),
+    FROM (SELECT *, b - 0.6180339887498949 * (b - a) AS c, a + 0.6180339887498949 * (b - a) AS d FROM it) JOIN r USING (task) WHERE b - a > 1e-7 GROUP BY ALL)),
 fitted AS (SELECT task, exp((arg_max(a, i) + arg_max(b, i)) / 2) AS t FROM it GROUP BY task)"""
 
 
@@ -283,7 +277,6 @@ SELECT event_type, max(value) FILTER (WHERE rn = least(n, floor(n * 0.5) + 1)) A
     "AGG23_mean_sd": f"""WITH {CONF}, g AS (SELECT task, config, avg(correct) AS a, avg({_P}) AS b FROM c GROUP BY task, config)
 SELECT task, count(*) AS configs, round(avg(a), 6) AS mean_accuracy, round(stddev(a), 6) AS sd_accuracy, round(avg(b), 6) AS mean_brier, round(stddev(b), 6) AS sd_brier FROM g GROUP BY task""",
     "FIT1_temperature": _FIT1 + " SELECT task, round(t, 4) AS temperature FROM fitted",
-    "FIT1_temperature_loop": _FIT1 + " SELECT task, round(t, 4) AS temperature FROM fitted",
     "FIT2_diagnose": _FIT1
     + f""", w AS (SELECT f.task, p, y, t, {_floor_log("1e-6")} AS z FROM f JOIN fitted USING (task))
 SELECT task, round(any_value(t), 4) AS temperature, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x)))) - z[y + 1]), 4) AS nll_before, round(avg(ln(list_sum(list_transform(z, lambda x: exp(x / t)))) - z[y + 1] / t), 4) AS nll_after,
@@ -297,12 +290,21 @@ SELECT task, round(any_value(t), 4) AS temperature, round(avg(ln(list_sum(list_t
         "20",
         "o",
         "task || '|' || held",
-        f"{FACTS}, u AS (SELECT *, {hash_unit_sql('0', 'id')} AS u FROM f), d AS (SELECT *, (row_number() OVER (PARTITION BY task, y ORDER BY u, id) - 1) % 3 AS fold FROM u), o AS (SELECT d.*, held FROM d, range(3) x(held) WHERE held <> fold)",
+        f"{FACTS}, u AS (SELECT *, {hash_unit_sql('0', 'id')} AS u FROM f), d AS (SELECT *, (row_number() OVER (PARTITION BY task, y ORDER BY u, id) - 1) % 5 AS fold FROM u), o AS (SELECT d.*, held FROM d, range(5) x(held) WHERE held <> fold)",
     )
     + " SELECT d.task, fold, count(*) AS n, round(any_value(t), 4) AS temperature FROM d JOIN fitted ON fitted.task = d.task || '|' || fold GROUP BY d.task, fold",
-    "FIT12_ece_floor": f"""WITH {CONF}{_MASS}, w AS (SELECT m.*, x.d FROM m, range(200) x(d)),
-g AS (SELECT task, d, chunk, abs(sum(CAST({hash_unit_sql("0", "id", "d")} < conf AS INT)) - sum(conf)) AS e, count(*) AS n FROM w GROUP BY task, d, chunk)
+    "FIT12_ece_floor": f"""WITH {CONF}{_MASS}, w AS (SELECT m.*, x.d, ({hash_unit_sql("0", "id")} * 4294967296)::BIGINT * ((((x.d + 1) * 2654435761) % 2147483648) | 1) % 4294967296 AS u FROM m, range(200) x(d)),
+g AS (SELECT task, d, chunk, abs(sum(CAST(u < conf * 4294967296 AS INT)) - sum(conf)) AS e, count(*) AS n FROM w GROUP BY task, d, chunk)
 SELECT task, round(avg(e), 6) AS ece_floor FROM (SELECT task, d, sum(e) / sum(n) AS e FROM g GROUP BY task, d) GROUP BY task""",
+    "FIT8_calibration_line": f"""WITH RECURSIVE {CONF}, r AS (SELECT task, ln(k / (1 - k)) AS x, correct::DOUBLE AS t FROM (SELECT task, correct, least(greatest(conf, 1e-4), 1 - 1e-4) AS k FROM c)),
+it(i, task, a, b) AS (SELECT DISTINCT 0, task, 0.0::DOUBLE, 1.0::DOUBLE FROM r
+  UNION ALL
+  SELECT i + 1, task, a + sa * CASE WHEN q > 0 THEN ln(1 + q) / q ELSE 1 END, b + sb * CASE WHEN q > 0 THEN ln(1 + q) / q ELSE 1 END FROM (
+    SELECT *, 9.264 * sqrt(sa * sa + sb * sb) AS q FROM (
+      SELECT *, (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS sa, (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS sb FROM (
+        SELECT i, task, a, b, sum(t - m) - a AS g1, sum((t - m) * x) - (b - 1) AS g2, sum(m * (1 - m)) + 1 AS h11, sum(m * (1 - m) * x) AS h12, sum(m * (1 - m) * x * x) + 1 AS h22
+        FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS m FROM it JOIN r USING (task)) WHERE i < 60 GROUP BY i, task, a, b))))
+SELECT task, round(arg_max(a, i), 4) AS intercept, round(arg_max(b, i), 4) AS slope FROM it GROUP BY task""",
     "FIT14_verdict": f"""WITH {CONF}, s AS (SELECT task, avg({_P}) / 20 - 0.01 AS bl, avg({_P}) / 20 AS bh, avg(correct) / 10 - 0.07 AS al, avg(correct) / 10 - 0.03 AS ah FROM c GROUP BY task)
 SELECT task, CASE WHEN bh <= 0.02 AND al >= -0.02 THEN 'PASS' WHEN bl > 0.02 OR ah < -0.02 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM s""",
     "FIT16_head_temperature": _golden(_floor_log("1e-6").replace("p,", "student,"), "0.001", "20", "pr", "family", PAIRS)
