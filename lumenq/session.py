@@ -57,8 +57,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a temporary folder of this machine is
-    used, and set as the session's checkpoint folder.
+    Only where a local session names none (tests, a laptop) a temporary folder of this machine is
+    used, and set as the session's checkpoint folder. On a cluster it must be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -66,12 +66,22 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lumenq-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)
     return f"file://{own}"
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work whose cost isn't its size in bytes: a number of the session, whatever the data.
+
+    An exchange asked for by number isn't coalesced at runtime, so such groups stay spread.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
