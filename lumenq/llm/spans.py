@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.llm.fmindex import shared_runs
-from lumenq.session import materialise
+from lumenq.llm.fmindex import shared_segments
+from lumenq.session import materialise, task_count
 
 #: Characters of a run that is reported.
 LEAST = 200
 #: Characters that one shard's index holds, about.
 SHARD_CHARS = 600_000
-#: An anchor in more rows than this is split by the text around it.
-HOT_ROWS = 1_000
+#: An anchor in more places than this may fill a shard alone: the text around it is trimmed to what is shared.
+HOT_ROWS = 2_000
 #: Characters that are hashed at a time.
 BLOCK = 1 << 19
 
@@ -133,84 +133,140 @@ def anchors(documents: DataFrame, least: int) -> DataFrame:
     return documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).mapInPandas(run, "doc_id long, pos int, h long")
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.sha1(text))
+
+
+_PIECES = "route long, doc_id long, n_chars int, begin int, piece string, hot boolean"
+
+
 def pieces(documents: DataFrame, shared: DataFrame, least: int, shards: int) -> DataFrame:
-    """The stretches of text around shared anchors, sent to the shards of the anchors."""
+    """The stretches of text around shared anchors: ``route`` is the anchor's shard, or the anchor itself where it is hot."""
     reach = least - least // 2
-    side = reach // 2
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["route", "doc_id", "n_chars", "begin", "piece", "hot"]
         for b in batches:
             out: list[tuple] = []
             for key, text, spots in zip(b.doc_id, b.text, b.spots, strict=True):
-                by_shard: dict[int, list[tuple[int, int]]] = {}
+                places: dict[tuple[int, bool], list[int]] = {}
                 for spot in spots:
-                    pos, h = int(spot["pos"]), int(spot["h"])
-                    routes = [h]
-                    if spot["hot"]:
-                        # A run of ``least`` around the anchor goes on for ``side`` characters on one side at least.
-                        after = text[pos + least // 2 : pos + least // 2 + side]
-                        ahead = text[max(0, pos - side) : pos]
-                        routes = [int(_context(h, x, k)) for k, x in enumerate((after, ahead)) if len(x) == side]
-                    for route in routes:
-                        by_shard.setdefault(route % shards, []).append((pos, route))
-                for shard, at in by_shard.items():
+                    hot = bool(spot["hot"])
+                    places.setdefault((int(spot["h"]) if hot else int(spot["h"]) % shards, hot), []).append(int(spot["pos"]))
+                for (route, hot), at in places.items():
                     at.sort()
                     first = 0
                     for k in range(1, len(at) + 1):
-                        if k == len(at) or at[k][0] - at[k - 1][0] > least:
-                            begin, end = max(0, at[first][0] - reach), at[k - 1][0] + least
+                        if k == len(at) or hot or at[k] - at[k - 1] > least:
+                            begin, end = max(0, at[first] - reach), at[k - 1] + least
                             piece = text[begin:end]
                             if len(piece) >= least:
-                                out.append((shard, key, begin, sorted({r for _, r in at[first:k]}), piece))
+                                out.append((route, key, len(text), begin, piece, hot))
                             first = k
                 if len(out) >= 2000:
-                    yield pd.DataFrame(out, columns=["shard", "doc_id", "begin", "routes", "piece"])
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "begin", "routes", "piece"])
+            yield pd.DataFrame(out, columns=columns)
 
     spots = shared.groupBy(F.col("doc_id").alias("d__")).agg(F.collect_list(F.struct("pos", "h", "hot")).alias("spots"))
     texts = documents.select("doc_id", "text").where(F.length("text") >= least)
     joined = texts.join(spots, F.col("doc_id") == F.col("d__")).select("doc_id", "text", "spots")
-    return joined.mapInPandas(cut, "shard int, doc_id long, begin int, routes array<long>, piece string")
+    return joined.mapInPandas(cut, _PIECES)
 
 
-def _context(h: int, text: str, side: int) -> np.int64:
-    codes = _codes(text).astype(np.uint64)
-    powers = np.cumprod(np.full(len(codes), _BASE, np.uint64))
-    seed = np.array([h], np.int64).view(np.uint64)
-    return _mix((codes + np.uint64(1)) @ powers + _mix(seed + np.uint64(side)))[0].view(np.int64)
+def _windows(distinct: DataFrame, least: int) -> DataFrame:
+    """``pid``, ``at`` and a hash ``w`` of every window of the pieces, with the smallest and largest document of the piece."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = Anchors(2 * least)
+        for b in batches:
+            hashes = [make.grams(_codes(t)).view(np.int64) for t in b.piece]
+            n = [len(h) for h in hashes]
+            yield pd.DataFrame({"pid": np.repeat(b.pid.to_numpy(), n), "at": np.concatenate([np.arange(k, dtype="int32") for k in n] or [np.zeros(0, "int32")]), "w": np.concatenate(hashes or [np.zeros(0, np.int64)]), "lo": np.repeat(b.lo.to_numpy(), n), "hi": np.repeat(b.hi.to_numpy(), n)})
+
+    return distinct.select("pid", "piece", "lo", "hi").mapInPandas(run, "pid binary, at int, w long, lo long, hi long")
+
+
+def _trimmed(hot: DataFrame, least: int, hot_rows: int) -> DataFrame:
+    """Pieces around hot anchors without the text that no other document has.
+
+    A phrase in a third of all documents gives as many pieces, each with other text beside it.
+    Equal pieces are folded, windows of ``least`` characters are counted by hash (map-side), and
+    only stretches of windows that occur again stay, so that what is left of the phrase's pieces
+    is the phrase. Where an anchor's pieces still differ too much for one shard, each window
+    that is shared is a piece of its own, of which the index holds one copy. Nothing that is
+    shared is dropped, and no step gathers an anchor's pieces. Which of the pieces that stay
+    share a run is left to the index.
+    """
+    keyed = materialise(hot.withColumn("pid", _key(F.col("piece"))), "hot-pieces")
+    distinct = keyed.groupBy("pid").agg(F.first("piece").alias("piece"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    windows = _windows(distinct, least)
+    again = windows.groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select(F.col("w").alias("w__"))
+    kept = windows.select("pid", "at", "w").join(again, F.col("w") == F.col("w__"))
+    # At most least - least // 2 + 1 windows a piece.
+    starts = kept.groupBy(F.col("pid").alias("p__")).agg(F.array_sort(F.collect_list("at")).alias("starts"))
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for pid, starts in zip(b.p__, b.starts, strict=True):
+                starts = np.asarray(starts)
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                    rows.append((pid, int(part[0]), int(part[-1])))
+            yield pd.DataFrame(rows, columns=["p__", "first", "last"])
+
+    stretches = starts.mapInPandas(runs, "p__ binary, first int, last int")
+    part = lambda at, size: F.substring("piece", F.col(at) + 1, size)
+    cut = keyed.join(stretches, F.col("pid") == F.col("p__")).select("route", "doc_id", "n_chars", "begin", "piece", "first", "last")
+    cut = cut.withColumn("body", part("first", F.col("last") - F.col("first") + least)).withColumn("begin", F.col("begin") + F.col("first"))
+    cut = materialise(cut.select("route", "doc_id", "n_chars", "begin", F.col("body").alias("piece")), "trimmed-pieces")
+    full = cut.select("route", _key(F.col("piece")).alias("k")).distinct().groupBy(F.col("route").alias("r__")).count().where(F.col("count") > hot_rows).select("r__")
+    crowded = cut.join(full, F.col("route") == F.col("r__"), "left_semi").withColumn("at", F.explode(F.sequence(F.lit(0), F.length("piece") - least)))
+    single = crowded.withColumn("piece", F.substring("piece", F.col("at") + 1, F.lit(least))).withColumn("begin", F.col("begin") + F.col("at")).withColumn("route", F.xxhash64("piece")).drop("at")
+    return cut.join(full, F.col("route") == F.col("r__"), "left_anti").unionByName(single)
 
 
 def _search(least: int):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        """Runs between the distinct pieces of one shard."""
-        routes = group.routes.map(lambda parts: np.unique(np.concatenate(list(parts))))
-        flat = np.concatenate(routes.tolist())
-        owner = np.repeat(np.arange(len(group)), routes.map(len))
-        names, times = np.unique(flat, return_counts=True)
-        several = times[np.searchsorted(names, flat)] > 1
-        used = np.unique(owner[several])
-        kept = group.iloc[used]
-        found = shared_runs(kept.piece.tolist(), least) if len(kept) > 1 else np.zeros((0, 5), np.int64)
-        pids = kept.pid.to_numpy()
-        return pd.DataFrame({"pid_a": pids[found[:, 0]], "pid_b": pids[found[:, 1]], "a0": found[:, 2].astype("int32"), "a1": found[:, 3].astype("int32"), "b0": found[:, 4].astype("int32")})
+        """Segments of the distinct pieces of one shard."""
+        group = group.sort_values("pid")
+        found = shared_segments(group.piece.tolist(), group.copies.to_numpy(), least)
+        shard = int(group.shard.iloc[0])
+        return pd.DataFrame({"pid": group.pid.to_numpy()[found[:, 0]], "class": (shard << 32) + found[:, 1], "first": found[:, 2].astype("int32"), "last": found[:, 3].astype("int32")})
 
     return search
 
 
 def shared_pieces(documents: DataFrame, least: int = LEAST, shard_chars: int = SHARD_CHARS, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(members: ``pid``, ``doc_id``, ``begin``, ``size``; runs: ``pid_a``, ``pid_b``, ``a0``, ``a1``, ``b0``)."""
+    """(members: ``shard``, ``pid``, ``doc_id``, ``n_chars``, ``begin``; segments: ``shard``, ``pid``, ``class``, ``first``, ``last``).
+
+    A member is a place of a piece in a document; a segment is windows in a row of a piece, of which
+    those pieces of the shard that hold them too have a segment of the same class.
+    """
     found = materialise(anchors(documents, least), "anchors")
     repeated = found.groupBy(F.col("h").alias("h__")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     shared = found.join(repeated, F.col("h") == F.col("h__")).select("doc_id", "pos", "h", (F.col("n") > hot_rows).alias("hot"))
     shared = materialise(shared, "shared-anchors")
-    shards = max(1, -(-shared.count() * 3 * (least // 2) // shard_chars))
-    cut = materialise(pieces(documents, shared, least, shards).withColumn("pid", F.unhex(F.sha1("piece"))), "pieces")
-    members = cut.select("pid", "doc_id", "begin", F.length("piece").alias("size"))
-    distinct = cut.groupBy("shard", "pid").agg(F.first("piece").alias("piece"), F.collect_set("routes").alias("routes"))
-    # As many partitions as shards: AQE would else put many small ones into one task.
-    runs = distinct.repartition(shards, "shard").groupBy("shard").applyInPandas(_search(least), "pid_a binary, pid_b binary, a0 int, a1 int, b0 int")
-    return members, materialise(runs, "runs")
+    counted = shared.agg(F.count(F.lit(1)), F.max("hot")).first()
+    shards = max(1, -(-counted[0] * 3 * (least // 2) // shard_chars))
+    cut = pieces(documents, shared, least, shards)
+    if counted[1]:
+        cut = materialise(cut, "cut")
+        cut = cut.where("not hot").drop("hot").unionByName(_trimmed(cut.where("hot").drop("hot"), least, hot_rows))
+    cut = cut.withColumn("shard", F.pmod("route", F.lit(shards)).cast("int")).withColumn("pid", _key(F.col("piece")))
+    cut = materialise(cut.select("shard", "pid", "doc_id", "n_chars", "begin", "piece"), "pieces")
+    members = cut.select("shard", "pid", "doc_id", "n_chars", "begin")
+    distinct = cut.groupBy("shard", "pid").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("copies"))
+    segments = distinct.repartition(task_count(documents.sparkSession), "shard").groupBy("shard").applyInPandas(_search(least), "pid binary, class long, first int, last int")
+    return members, materialise(segments, "segments")
+
+
+def _owners(members: DataFrame, segments: DataFrame) -> DataFrame:
+    """``class`` and ``doc_id`` of the documents that hold the windows of a class."""
+    shard = F.shiftright("class", 32).cast("int")
+    held = segments.select("class", F.col("pid").alias("p__"), shard.alias("s__")).distinct()
+    joined = members.join(held, (F.col("shard") == F.col("s__")) & (F.col("pid") == F.col("p__")))
+    return joined.select("class", "doc_id").distinct()
 
 
 def pairs(documents: DataFrame, least: int = LEAST, **kwargs) -> DataFrame:
@@ -218,37 +274,32 @@ def pairs(documents: DataFrame, least: int = LEAST, **kwargs) -> DataFrame:
 
     ``documents`` has ``doc_id`` (unique, null rows are skipped) and ``text``; other columns are
     ignored. Null texts and texts shorter than ``least`` share nothing. Each pair comes once.
-    Copies of a piece of text are indexed once and expanded here only.
+    Classes are expanded here only; of classes with the same documents one is.
     """
-    members, runs = shared_pieces(documents, least, **kwargs)
-    members = members.select("pid", "doc_id").distinct()
-    a = members.select(F.col("pid").alias("pa"), F.col("doc_id").alias("x"))
-    b = members.select(F.col("pid").alias("pb"), F.col("doc_id").alias("y"))
-    linked = runs.where("pid_a < pid_b").select("pid_a", "pid_b").distinct()
-    across = linked.join(a, F.col("pid_a") == F.col("pa")).join(b, F.col("pid_b") == F.col("pb")).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-    within = a.join(b, F.col("pa") == F.col("pb")).where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"))
-    return across.unionByName(within).distinct()
+    owners = materialise(_owners(*shared_pieces(documents, least, **kwargs)), "owners")
+    # The set of a class's documents, as its size and two sums of hashes (added up map-side).
+    small = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), "doc_id"), 24).cast("decimal(38,0)"))
+    sets = owners.groupBy("class").agg(F.count(F.lit(1)).alias("n"), small(1).alias("s1"), small(2).alias("s2")).where("n > 1")
+    chosen = sets.groupBy("n", "s1", "s2").agg(F.min("class").alias("c__")).select("c__")
+    kept = owners.join(chosen, F.col("class") == F.col("c__")).select("class", "doc_id")
+    a, b = kept.select("class", F.col("doc_id").alias("doc_a")), kept.select("class", F.col("doc_id").alias("doc_b"))
+    return a.join(b, "class").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
 def coverage(documents: DataFrame, least: int = LEAST, **kwargs) -> DataFrame:
     """For each document with a shared span: ``doc_id``, ``spans``, ``shared_chars``, ``n_chars``, ``portion``.
 
-    Spans that overlap or touch are merged. Documents that share nothing have no row. Input and
-    edge cases as in ``pairs``; nothing is expanded into pairs here.
+    A window of ``least`` characters is shared if another document holds it too; a document's own
+    copies don't count. Spans that overlap or touch are merged. Documents that share nothing
+    have no row. Input and edge cases as in ``pairs``; nothing is expanded into pairs here.
     """
-    members, runs = shared_pieces(documents, least, **kwargs)
-    owners = members.groupBy("pid").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    copies = members.join(owners.where("lo < hi").select(F.col("pid").alias("p")), F.col("pid") == F.col("p")).select("doc_id", F.col("begin").alias("s"), (F.col("begin") + F.col("size")).alias("e"))
-    partner = owners.select(F.col("pid").alias("pb"), "lo", "hi")
-    # By piece and the one owner of the partner (null: several), so that a document's own copy isn't
-    # counted as shared elsewhere; of each place the two longest, since a document rules out one at most.
-    sole = F.when(F.col("lo") == F.col("hi"), F.col("lo"))
-    spans = runs.join(partner, F.col("pid_b") == F.col("pb")).groupBy("pid_a", "a0", sole.alias("sole")).agg(F.max("a1").alias("a1"))
-    longest = Window.partitionBy("pid_a", "a0").orderBy(F.desc("a1"), "sole")
-    spans = spans.withColumn("r", F.row_number().over(longest)).where("r <= 2")
-    own = members.join(spans, F.col("pid") == F.col("pid_a")).where("sole is null or sole <> doc_id").select("doc_id", (F.col("begin") + F.col("a0")).alias("s"), (F.col("begin") + F.col("a1")).alias("e"))
-    ends = copies.unionByName(own).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
-    merged = ends.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
+    members, segments = shared_pieces(documents, least, **kwargs)
+    several = _owners(members, segments).groupBy("class").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("class").alias("c__"))
+    shared = segments.join(several, F.col("class") == F.col("c__")).select(F.shiftright("class", 32).cast("int").alias("s__"), F.col("pid").alias("p__"), "first", "last")
+    placed = members.join(shared, (F.col("shard") == F.col("s__")) & (F.col("pid") == F.col("p__")))
+    spans = placed.select("doc_id", "n_chars", (F.col("begin") + F.col("first")).alias("s"), (F.col("begin") + F.col("last") + least).alias("e"))
+    ends = spans.groupBy("doc_id", "n_chars", "s").agg(F.max("e").alias("e"))
+    merged = ends.groupBy("doc_id", "n_chars").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("all"))
     empty = F.struct(F.lit(0).alias("spans"), F.lit(0).alias("chars"), F.lit(-1).alias("end"))
     total = F.aggregate(
         "all",
@@ -259,6 +310,5 @@ def coverage(documents: DataFrame, least: int = LEAST, **kwargs) -> DataFrame:
             F.greatest(acc["end"], x["e"]).alias("end"),
         ),
     )
-    counted = merged.select(F.col("doc_id").alias("d__"), total.alias("t"))
-    size = documents.select("doc_id", F.length("text").alias("n_chars"))
-    return size.join(counted, F.col("doc_id") == F.col("d__")).select("doc_id", F.col("t.spans").cast("long").alias("spans"), F.col("t.chars").cast("long").alias("shared_chars"), F.col("n_chars").cast("long").alias("n_chars"), F.round(F.col("t.chars") / F.col("n_chars"), 6).alias("portion"))
+    counted = merged.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), total.alias("t"))
+    return counted.select("doc_id", F.col("t.spans").cast("long").alias("spans"), F.col("t.chars").cast("long").alias("shared_chars"), "n_chars", F.round(F.col("t.chars") / F.col("n_chars"), 6).alias("portion"))

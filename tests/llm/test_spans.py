@@ -42,7 +42,8 @@ def corpus(seed):
 
 
 def test_pairs_and_coverage_against_brute_force(spark):
-    for seed, hot in ((1, 1000), (2, 3)):
+    # With 10 some anchors are hot, and with 2 their trimmed pieces are crowded too.
+    for seed, hot in ((1, 1000), (2, 10), (3, 2)):
         docs = corpus(seed)
         documents = spark.createDataFrame(docs, SCHEMA)
         pairs, covered = brute(docs, 20)
@@ -50,6 +51,46 @@ def test_pairs_and_coverage_against_brute_force(spark):
         assert {r.doc_id: r.shared_chars for r in spans.coverage(documents, 20, shard_chars=2000, hot_rows=hot).collect()} == covered
 
 
+def test_segments_grow_with_texts_not_with_pairs(spark):
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    passage = text(220)
+    for m in (50, 400):
+        found = fmindex.shared_segments([text(90) + passage + text(90) for _ in range(m)], np.ones(m), 200)
+        assert m <= len(found) <= 12 * m
+    # The same passage around hot anchors: the text beside it is trimmed, equal windows are indexed once.
+    documents = spark.createDataFrame([(k, text(90) + passage + text(90)) for k in range(400)], "doc_id long, text string")
+    members, segments = spans.shared_pieces(documents, 200, hot_rows=50)
+    assert segments.count() < 3 * 400 and members.count() < 60 * 400 and members.join(segments, "pid").select("doc_id").distinct().count() == 400
+    assert spans.pairs(documents, 200, hot_rows=50).count() == 400 * 399 // 2
+
+
+def test_segments_against_brute_force():
+    for seed in range(12):
+        draw = random.Random(seed)
+        base = ["".join(draw.choice("ab" if seed % 3 == 0 else "abcdefg") for _ in range(draw.choice([60, 200]))) for _ in range(4)]
+        texts = []
+        for _ in range(30):
+            t = "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(40)))
+            for _ in range(draw.randrange(3)):
+                s = draw.choice(base)
+                a = draw.randrange(len(s) - 10)
+                t += s[a : a + draw.randrange(10, 90)] + "".join(draw.choice("abcdefgh") for _ in range(draw.randrange(30)))
+            texts.append(t)
+        texts = list(dict.fromkeys(texts))
+        copies = np.array([draw.choice([1, 1, 2]) for _ in texts])
+        where = {}
+        for q, t in enumerate(texts):
+            for k in range(len(t) - 19):
+                where.setdefault(t[k : k + 20], []).append((q, k))
+        classes, of = {}, {}
+        for q, c, first, last in fmindex.shared_segments(texts, copies, 20, stride=draw.choice([7, 50, 400]), leap=draw.choice([3, 16, 128])).tolist():
+            classes.setdefault(c, set()).add(q)
+            of.update({(q, k): c for k in range(first, last + 1)})
+        assert set(of) == {x for found in where.values() for x in found if len(found) > 1 or copies[x[0]] > 1}
+        assert all(classes[of[x]] == {q for q, _ in found} for found in where.values() for x in found if x in of)
+
+
 def test_blocks_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK", 64)
     make = spans.Anchors(20)
@@ -61,7 +102,7 @@ def test_blocks_of_a_long_text(spark, monkeypatch):
 def test_suffix_array():
     draw = np.random.default_rng(3)
     symbols = draw.integers(1, 3, 200)
-    order = fmindex.suffix_array(symbols, 200)
+    order, _, _ = fmindex.suffix_array(symbols, 200)
     text = symbols.tolist()
     assert [text[k:] for k in order] == sorted(text[k:] for k in range(200))
 
@@ -71,10 +112,9 @@ def test_empty(spark):
     assert spans.pairs(empty).count() == 0 and spans.coverage(empty).count() == 0
 
 
-def test_own_copies_are_not_shared_elsewhere(spark, monkeypatch):
-    members = spark.createDataFrame([(1, 1, 0, 500), (2, 1, 1000, 500), (3, 2, 0, 300)], "pid long, doc_id long, begin int, size int")
-    found = [(1, 2, 0, 400, 0), (1, 3, 0, 300, 0), (2, 1, 0, 400, 0), (2, 3, 0, 300, 0), (3, 1, 0, 300, 0), (3, 2, 0, 300, 0)]
-    runs = spark.createDataFrame(found, "pid_a long, pid_b long, a0 int, a1 int, b0 int")
-    monkeypatch.setattr(spans, "shared_pieces", lambda *_, **__: (members, runs))
-    documents = spark.createDataFrame([(1, "x" * 1500), (2, "x" * 300)], "doc_id long, text string")
+def test_own_copies_are_not_shared_elsewhere(spark):
+    draw = random.Random(2)
+    text = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    long_, own = text(400), text(400)
+    documents = spark.createDataFrame([(1, long_ + text(80) + long_ + text(90) + own + text(70) + own), (2, text(50) + "2" + long_[:300] + "3" + text(30))], "doc_id long, text string")
     assert {r.doc_id: (r.spans, r.shared_chars) for r in spans.coverage(documents).collect()} == {1: (2, 600), 2: (1, 300)}
