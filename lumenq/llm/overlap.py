@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.session import materialise
+from lumenq.session import materialise, task_count
 
 #: Similarity (common words over all words) from which two samples overlap.
 SIMILARITY = 0.7
@@ -18,18 +18,22 @@ SIMILARITY = 0.7
 TOLERANCE = 0.000002
 #: Counters of the word-frequency sketch, a fixed size whatever the vocabulary.
 SKETCH = 1 << 16
-#: Rows that one automaton's shard is made for, about: it bounds a shard's memory.
+#: Bits of the set of beginnings of evaluation passages, a fixed size too. What it lets through is matched exactly.
+GATE = 1 << 22
+#: Rows of either side that one automaton's task gets at most, about: it bounds the task's memory.
 SHARD_ROWS = 40_000
-SHARDS_LEAST = 16
+SHARDS_LEAST = 48
 #: Most words in one passage, and bits of the sketch of a record's words.
 LONGEST = 6
 BITS = 512
 
 _WORD = re.compile(r"[^\W_]+")
 _TRAIN = "train"
-#: A word is 38 bits, written as two characters of disjoint ranges so that a match can't start inside a word.
-_WORD_BITS, _HALF = 38, 19
-_FIRST, _SECOND = 0x10000, 0x90000
+#: A word is 54 bits, written as three characters of disjoint ranges so that a match can't start inside a word.
+_WORD_BITS, _THIRD = 54, 18
+_RANGES = (0x10000, 0x50000, 0x90000)
+#: Stands before each stretch and passage, so that a passage matches at the beginning of a stretch only.
+_MARK = "\n"
 
 
 def clean(text: Column) -> Column:
@@ -52,18 +56,23 @@ class _Codes(dict):
         return code
 
 
+def _codes_of(words, codes: _Codes) -> np.ndarray:
+    return np.array([codes[w] for w in words], np.int64)
+
+
 def word_sets(samples: DataFrame) -> DataFrame:
-    """``words``: the sorted codes of the distinct words of each ``state``; no row without a word."""
+    """``words``: the distinct words of each ``state`` in the order of their codes, and their ``key``; no row without a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = _Codes()
         for b in batches:
-            words = [np.unique(np.array([codes[w] for w in _WORD.findall(t.lower())], np.int64)) for t in b.state]
+            words = [sorted(set(_WORD.findall(t.lower())), key=lambda w: (codes[w], w)) for t in b.state]
             kept = np.array([len(w) > 0 for w in words], bool)
-            yield pd.DataFrame({"id": b.id[kept], "train": b.train[kept], "words": [w for w in words if len(w)]})
+            yield pd.DataFrame({"id": b.id[kept], "train": b.train[kept], "words": [w for w in words if w]})
 
     rows = samples.where(F.col("sample_id").isNotNull() & F.col("state").isNotNull() & F.col("split").isNotNull())
-    return rows.select(F.col("sample_id").alias("id"), (clean(F.col("split")) == _TRAIN).alias("train"), "state").mapInPandas(run, "id long, train boolean, words array<long>")
+    found = rows.select(F.col("sample_id").alias("id"), (clean(F.col("split")) == _TRAIN).alias("train"), "state").mapInPandas(run, "id long, train boolean, words array<string>")
+    return found.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", "words"))))
 
 
 def _sketch(classes: DataFrame) -> np.ndarray:
@@ -71,9 +80,10 @@ def _sketch(classes: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SKETCH, np.int64)
+        codes = _Codes()
         for b in batches:
             if len(b):
-                total += np.bincount(np.concatenate(b.words.tolist()) % SKETCH, minlength=SKETCH)
+                total += np.bincount(_codes_of(np.concatenate(b.words.tolist()), codes) % SKETCH, minlength=SKETCH)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"slot": used.astype("int32"), "n": total[used]})
 
@@ -122,10 +132,10 @@ def passages(words: np.ndarray, cost: np.ndarray, need: int) -> list[tuple[int,
 
 
 def _text(words: np.ndarray) -> str:
-    pair = np.empty(2 * len(words), np.uint32)
-    pair[0::2] = _FIRST + (words >> _HALF)
-    pair[1::2] = _SECOND + (words & ((1 << _HALF) - 1))
-    return pair.tobytes().decode("utf-32-le")
+    parts = np.empty(3 * len(words), np.uint32)
+    for k, begin in enumerate(_RANGES):
+        parts[k::3] = begin + (words >> ((2 - k) * _THIRD) & ((1 << _THIRD) - 1))
+    return parts.tobytes().decode("utf-32-le")
 
 
 def _bits(words: np.ndarray) -> bytes:
@@ -134,109 +144,172 @@ def _bits(words: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _route(classes: DataFrame, similarity: float, shards: int) -> DataFrame:
-    """Passages of evaluation records, and stretches of training records, by the shard of their first word."""
+def _beginnings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word alone, and of each word with the next one (the last has none)."""
+    x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    alone = x ^ (x >> np.uint64(29))
+    pair = (alone[:-1] * np.uint64(0xBF58476D1CE4E5B9)) + np.roll(x, -1)[:-1]
+    return alone >> np.uint64(1), (pair ^ (pair >> np.uint64(31))) >> np.uint64(1)
+
+
+_ROUTED = "shard int, key binary, n int, bits binary, body string"
+
+
+def _passage_rows(classes: DataFrame, similarity: float, shards: int) -> DataFrame:
+    """Passages of evaluation records by the shard of their beginning, with the hashes of the beginnings."""
     counts = _sketch(classes)
     surprise = -np.log(np.maximum(counts, 1) / max(1.0, counts.max()) * 0.95)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need: dict[int, int] = {}
+        codes = _Codes()
+        for b in batches:
+            out: list[tuple] = []
+            for key, listed in zip(b["key"], b.words, strict=True):
+                words = _codes_of(listed, codes)
+                n, bits, text = len(words), _bits(words), _text(words)
+                if n not in need:
+                    need[n] = differences(n, similarity) + 1
+                alone, pair = _beginnings(words)
+                chosen: dict[int, list[tuple[int, str]]] = {}
+                for begin, end in passages(words, surprise[words % SKETCH], need[n]):
+                    gate = int(alone[begin] if end - begin == 1 else pair[begin])
+                    chosen.setdefault(gate % shards, []).append((gate, _MARK + text[3 * begin : 3 * end]))
+                out += [(s, key, n, bits, "".join(t for _, t in held), [g for g, _ in held]) for s, held in chosen.items()]
+            yield pd.DataFrame(out, columns=["shard", "key", "n", "bits", "body", "gates"])
+
+    return classes.where("in_eval").select("key", "words").mapInPandas(run, _ROUTED + ", gates array<long>")
+
+
+def _gate(passages_: DataFrame) -> np.ndarray:
+    """GATE bits: which beginnings evaluation passages have. At most GATE / 64 numbers come to the driver."""
+    slot = F.pmod(F.col("g"), F.lit(GATE))
+    bits = passages_.select(F.explode("gates").alias("g")).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(g, {GATE}) & 63 as int)))").alias("bits"))
+    out = np.zeros(GATE // 64, np.int64)
+    for r in bits.collect():
+        out[r["word"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _stretch_rows(classes: DataFrame, gate: np.ndarray, shards: int) -> DataFrame:
+    """Stretches of training records at which a passage may begin, by the shard of that beginning."""
+    packed = np.packbits(gate)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _Codes()
+        opened = np.unpackbits(packed).astype(bool)
         for b in batches:
             out: list[tuple] = []
-            for key, in_train, in_eval, words in zip(b["key"], b.in_train, b.in_eval, b.words, strict=True):
+            for key, listed in zip(b["key"], b.words, strict=True):
+                words = _codes_of(listed, codes)
+                alone, pair = _beginnings(words)
+                at = [(int(alone[k]) % shards, k) for k in np.flatnonzero(opened[alone % np.uint64(GATE)])]
+                at += [(int(pair[k]) % shards, k) for k in np.flatnonzero(opened[pair % np.uint64(GATE)])]
+                if not at:
+                    continue
                 n, bits, text = len(words), _bits(words), _text(words)
-                shard = words * shards >> _WORD_BITS
-                if in_train:
-                    edges = np.flatnonzero(np.diff(shard, prepend=-1))
-                    for k, begin in enumerate(edges):
-                        # Passages that begin in the shard may run on into the next one.
-                        end = min(n, (edges[k + 1] if k + 1 < len(edges) else n) + LONGEST - 1)
-                        out.append((int(shard[begin]), True, key, n, bits, text[2 * begin : 2 * end]))
-                if in_eval:
-                    if n not in need:
-                        need[n] = differences(n, similarity) + 1
-                    chosen: dict[int, list[str]] = {}
-                    for begin, end in passages(words, surprise[words % SKETCH], need[n]):
-                        chosen.setdefault(int(shard[begin]), []).append(text[2 * begin : 2 * end])
-                    out += [(s, False, key, n, bits, "\n".join(texts)) for s, texts in chosen.items()]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["shard", "train", "key", "n", "bits", "body"])
-                    out = []
-            yield pd.DataFrame(out, columns=["shard", "train", "key", "n", "bits", "body"])
-
-    return classes.mapInPandas(run, "shard int, train boolean, key long, n int, bits binary, body string")
+                places: dict[int, set[int]] = {}
+                for shard, k in at:
+                    places.setdefault(shard, set()).add(k)
+                out += [(s, key, n, bits, "".join(_MARK + text[3 * k : 3 * (k + LONGEST)] for k in sorted(ks))) for s, ks in places.items()]
+            yield pd.DataFrame(out, columns=["shard", "key", "n", "bits", "body"])
+
+    return classes.where("in_train").select("key", "words").mapInPandas(run, _ROUTED)
+
+
+def _matches(held: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in ``held``, place in ``texts``, length) of passages found, by an automaton that scans all texts."""
+    import ahocorasick
+
+    numbers: dict[str, int] = {}
+    owners: list[list[int]] = []
+    lengths: list[int] = []
+    for k, body in enumerate(held):
+        for passage in body.split(_MARK)[1:]:
+            number = numbers.setdefault(passage, len(owners))
+            if number == len(owners):
+                owners.append([])
+                lengths.append(len(passage))
+            owners[number].append(k)
+    if not owners:
+        return
+    automaton = ahocorasick.Automaton()
+    for passage, number in numbers.items():
+        automaton.add_word(_MARK + passage, number)
+    automaton.make_automaton()
+    sizes = np.array([len(o) for o in owners])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.array([k for o in owners for k in o])
+    long = np.array(lengths)
+
+    def settle(rows: list[int], hits: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number = np.array(hits)
+        each = sizes[number]
+        place = np.repeat(starts[number] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return flat[place], np.repeat(np.array(rows), each), np.repeat(long[number], each)
+
+    rows: list[int] = []
+    hits: list[int] = []
+    pending = 0
+    for k, body in enumerate(texts):
+        for _, number in automaton.iter(body):
+            rows.append(k)
+            hits.append(number)
+            pending += len(owners[number])
+        if pending > 1_000_000:
+            yield settle(rows, hits)
+            rows, hits, pending = [], [], 0
+    if hits:
+        yield settle(rows, hits)
 
 
 def _scan(similarity: float):
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         """An automaton over the shard's evaluation passages reads all of its training stretches."""
-        import ahocorasick
-
         held, texts = group[~group.train], group[group.train]
-        nothing = pd.DataFrame({"eval_key": np.zeros(0, np.int64), "train_key": np.zeros(0, np.int64), "covered": np.zeros(0, np.int32)})
-        if not len(held) or not len(texts):
-            return nothing
-        numbers: dict[str, int] = {}
-        owners: list[list[int]] = []
-        lengths: list[int] = []
-        for k, body in enumerate(held.body):
-            for passage in body.split("\n"):
-                number = numbers.setdefault(passage, len(owners))
-                if number == len(owners):
-                    owners.append([])
-                    lengths.append(len(passage) // 2)
-                owners[number].append(k)
-        automaton = ahocorasick.Automaton()
-        for passage, number in numbers.items():
-            automaton.add_word(passage, number)
-        automaton.make_automaton()
-        sizes = np.array([len(o) for o in owners])
-        starts = np.cumsum(sizes) - sizes
-        flat = np.array([k for o in owners for k in o])
-        lengths_ = np.array(lengths)
-        held_bits, text_bits = (np.frombuffer(b"".join(x.bits), np.uint64).reshape(len(x), -1) for x in (held, texts))
-        held_n, text_n = held.n.to_numpy(), texts.n.to_numpy()
-        # Words in which two records of given sizes may differ.
         out: list[np.ndarray] = []
-
-        def settle(rows: list[int], hits: list[int]) -> None:
-            number = np.array(hits)
-            each = sizes[number]
-            place = np.repeat(starts[number] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            a, b = flat[place], np.repeat(np.array(rows), each)
-            covered = np.repeat(lengths_[number], each)
-            total = held_n[a] + text_n[b]
-            # Common words that the similarity needs, and the most they can be, given the records' bits.
-            common = np.ceil(similarity * total / (1 + similarity) - 1e-9)
-            fits = np.minimum(held_n[a], text_n[b]) >= common
-            a, b, covered, total, common = a[fits], b[fits], covered[fits], total[fits], common[fits]
-            apart = np.bitwise_count(held_bits[a] ^ text_bits[b]).sum(axis=1)
-            fits = apart <= total - 2 * common
-            out.append(np.stack([a[fits], b[fits], covered[fits]]))
-
-        rows: list[int] = []
-        hits: list[int] = []
-        pending = 0
-        for k, body in enumerate(texts.body):
-            for _, number in automaton.iter(body):
-                rows.append(k)
-                hits.append(number)
-                pending += len(owners[number])
-            if pending > 1_000_000:
-                settle(rows, hits)
-                rows, hits, pending = [], [], 0
-        if hits:
-            settle(rows, hits)
-        if not out:
-            return nothing
-        a, b, covered = np.concatenate(out, axis=1)
+        if len(held) and len(texts):
+            held_bits, text_bits = (np.frombuffer(b"".join(x.bits), np.uint64).reshape(len(x), -1) for x in (held, texts))
+            held_n, text_n = held.n.to_numpy(), texts.n.to_numpy()
+            for a, b, size in _matches(held.body.tolist(), texts.body.tolist()):
+                total = held_n[a] + text_n[b]
+                # Common words that the similarity needs, and the most they can be, given the records' bits.
+                common = np.ceil(similarity * total / (1 + similarity) - 1e-9)
+                fits = np.minimum(held_n[a], text_n[b]) >= common
+                a, b, size, total, common = a[fits], b[fits], size[fits], total[fits], common[fits]
+                fits = np.bitwise_count(held_bits[a] ^ text_bits[b]).sum(axis=1) <= total - 2 * common
+                out.append(np.stack([a[fits], b[fits], size[fits] // 3]))
+        a, b, covered = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pd.DataFrame({"eval_key": held["key"].to_numpy()[a], "train_key": texts["key"].to_numpy()[b], "covered": covered.astype("int32")})
 
     return scan
 
 
+def _dealt(held: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """Both sides with ``train`` and ``part``: a shard of more than SHARD_ROWS rows of a side is cut into parts.
+
+    Parts of one side meet all parts of the other, so that a beginning that a third of all records
+    has is worked on by many tasks, and none of its matches is lost.
+    """
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(F.col("shard").alias("s__")).agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias(name))
+
+    parts = counted(held, "ph").join(counted(texts, "pt"), "s__")
+
+    def placed(side: DataFrame, train: bool) -> DataFrame:
+        own, other = ("pt", "ph") if train else ("ph", "pt")
+        rows = side.join(parts, F.col("shard") == F.col("s__"))
+        mine = F.pmod(F.xxhash64(by[0]), F.col(own)).cast("int")
+        rows = rows.withColumn("own__", mine).withColumn("other__", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        part = F.col("own__") * F.col(other) + F.col("other__") if not train else F.col("other__") * F.col(own) + F.col("own__")
+        return rows.select(F.lit(train).alias("train"), "shard", part.alias("part"), *by)
+
+    return placed(held, False).unionByName(placed(texts, True))
+
+
 def sample_overlaps(samples: DataFrame, similarity: float = SIMILARITY, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links between classes: ``eval_key``, ``train_key``, ``covered``, ``similarity``; members: ``key``, ``id``, ``train``).
+    """(links between classes: ``eval_key``, ``train_key``, ``covered``, ``words``, ``similarity``; members: ``key``, ``id``, ``train``).
 
     A class is the samples with one set of words; a class with rows on both sides links to
     itself. ``samples`` has ``sample_id``, ``split`` and ``state``; other columns are ignored,
@@ -245,47 +318,48 @@ def sample_overlaps(samples: DataFrame, similarity: float = SIMILARITY, shards:
     Words are ordered by a hash, which makes a record a passage that doesn't depend on the order
     of its text. Each evaluation record is cut into one more stretch than the number of words
     it may differ in, so that at least one stands unchanged, word beside word, in every
-    training record similar enough: no link is lost. An automaton for each hash range scans the
-    part of every training record in that range; matches are merged into the covered words of
-    the evaluation record, after 512 bits of each record ruled out what can't be similar. The
-    remaining pairs are checked on the full sets of words.
+    training record similar enough: no link is lost. Passages are sharded by their first two words
+    (or only one), and a training record goes to a shard only with the stretches that begin like
+    a passage there. The shard's automaton scans them; matches are merged into ``covered``, the
+    number of the evaluation record's ``words`` in matched passages, after 512 bits of each record
+    ruled out what can't be similar. The remaining pairs are checked on the words themselves.
     """
-    sets = word_sets(samples).withColumn("key", F.xxhash64("words"))
-    sets = materialise(sets, "word-sets")
+    sets = materialise(word_sets(samples), "word-sets")
     members = sets.select("key", "id", "train")
     classes = sets.groupBy("key").agg(F.first("words").alias("words"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))
     classes = materialise(classes, "word-classes")
     count = shards or max(SHARDS_LEAST, -(-classes.count() // SHARD_ROWS) * SHARDS_LEAST)
-    routed = _route(classes, similarity, count)
-    hits = routed.repartition(count, "shard").groupBy("shard").applyInPandas(_scan(similarity), "eval_key long, train_key long, covered int")
+    held = materialise(_passage_rows(classes, similarity, count), "passages")
+    texts = materialise(_stretch_rows(classes, _gate(held), count), "stretches")
+    rows = _dealt(held, texts, ["key", "n", "bits", "body"])
+    hits = rows.repartition(task_count(samples.sparkSession), "shard", "part").groupBy("shard", "part").applyInPandas(_scan(similarity), "eval_key binary, train_key binary, covered int")
     merged = materialise(hits.groupBy("eval_key", "train_key").agg(F.sum("covered").cast("long").alias("covered")), "overlap-candidates")
     a = classes.select(F.col("key").alias("ka"), F.col("words").alias("wa"))
     b = classes.select(F.col("key").alias("kb"), F.col("words").alias("wb"))
     both = merged.join(a, F.col("eval_key") == F.col("ka")).join(b, F.col("train_key") == F.col("kb"))
     common = F.size(F.array_intersect("wa", "wb"))
     measured = both.withColumn("similarity", common / (F.size("wa") + F.size("wb") - common))
-    return measured.where(F.col("similarity") >= similarity).select("eval_key", "train_key", "covered", "similarity"), members
+    return measured.where(F.col("similarity") >= similarity).select("eval_key", "train_key", "covered", F.size("wa").cast("long").alias("words"), "similarity"), members
 
 
 def sample_pairs(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(``eval_id``, ``train_id``, ``similarity``) of all samples that overlap, classes expanded."""
-    links, members = sample_overlaps(samples, similarity)
-    evals = members.where(~F.col("train")).select(F.col("key").alias("ke"), F.col("id").alias("eval_id"))
-    trains = members.where("train").select(F.col("key").alias("kt"), F.col("id").alias("train_id"))
-    return links.join(evals, F.col("eval_key") == F.col("ke")).join(trains, F.col("train_key") == F.col("kt")).select("eval_id", "train_id", "similarity")
+    return expanded(*sample_overlaps(samples, similarity)).select("eval_id", "train_id", "similarity")
 
 
-def prediction_pairs(predictions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(``eval_id``, ``train_id``) of predictions of one task with equal label and distribution.
+def prediction_overlaps(predictions: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """(links between classes: ``eval_key``, ``train_key``; members: ``key``, ``id``, ``train``) of equal predictions.
 
     ``predictions`` has ``pred_id``, ``task``, ``split``, ``probabilities`` and ``label``.
     Labels and options are compared trimmed, lower-cased and with ``_`` as a space; options must
     be the same, and no probability may differ by more than ``tolerance``. Null labels, splits
     and tasks, null and empty distributions, and distributions with a null probability or with
-    two options that are written alike match nothing.
+    two options that are written alike match nothing. A class is the rows that agree in everything.
 
-    Numbers aren't text: rows meet by task, label, options and the cell of two probabilities.
-    Cells are a little over twice the tolerance wide; a row near a border is filed under both sides.
+    A distribution is written as a passage: task, label, options and the cells of two
+    probabilities. Cells are a little over twice the tolerance wide; a training row near a border
+    is written on both sides. Automata over sharded evaluation passages scan the training rows',
+    and what they match is checked number by number.
     """
 
     def name(x: Column) -> Column:
@@ -295,38 +369,73 @@ def prediction_pairs(predictions: DataFrame, tolerance: float = TOLERANCE) -> Da
     rows = predictions.where(F.col("pred_id").isNotNull() & F.col("label").isNotNull() & F.col("split").isNotNull() & F.col("task").isNotNull()).select(
         F.col("pred_id").alias("id"), "task", (clean(F.col("split")) == _TRAIN).alias("train"), name(F.col("label")).alias("lab"), F.array_sort(entries).alias("d")
     )
-    rows = rows.where((F.size("d") > 0) & ~F.exists("d", lambda e: e["p"].isNull())).select("id", "task", "train", "lab", F.col("d.o").alias("options"), F.col("d.p").alias("p"))
-    rows = rows.where(F.size(F.array_distinct("options")) == F.size("options"))
+    rows = rows.where((F.size("d") > 0) & ~F.exists("d", lambda e: e["p"].isNull())).select("id", "train", F.to_json(F.struct("task", "lab", F.col("d.o").alias("o"))).alias("of"), F.col("d.o").alias("options"), F.col("d.p").alias("p"))
+    rows = rows.where(F.size(F.array_distinct("options")) == F.size("options")).drop("options")
+    rows = materialise(rows.select("id", "train", F.unhex(F.md5("of")).alias("of"), "p", F.unhex(F.md5(F.concat_ws("|", "of", F.transform("p", lambda x: x.cast("string"))))).alias("key")), "distributions")
+    members = rows.select("key", "id", "train")
+    classes = rows.groupBy("key").agg(F.first("of").alias("of"), F.first("p").alias("p"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))
     # Wider than what lies within the slack on both sides of a number, so that it falls into two cells at most.
     width, slack = 2.02 * tolerance, tolerance * 1.0001
 
     def cells(p: Column) -> Column:
         return F.array_distinct(F.array(F.floor((p - slack) / width), F.floor((p + slack) / width)))
 
-    one, two = F.col("p")[0], F.try_element_at(F.col("p"), F.lit(2))
-    key = ["task", "lab", "options", "c1", "c2"]
-    held = rows.where(~F.col("train")).select(F.col("id").alias("eval_id"), "task", "lab", "options", F.col("p").alias("pe"), F.floor(one / width).alias("c1"), F.coalesce(F.floor(two / width), F.lit(0)).alias("c2"))
-    train = rows.where("train").withColumn("c1", F.explode(cells(one))).withColumn("c2", F.explode(F.coalesce(F.when(two.isNull(), F.array(F.lit(0).cast("long"))), cells(two))))
-    both = held.join(train.select(F.col("id").alias("train_id"), "p", *key), key)
-    apart = F.array_max(F.zip_with("p", "pe", lambda x, y: F.abs(x - y)))
-    return both.where(apart <= tolerance * (1 + 1e-9)).select("eval_id", "train_id").distinct()
+    one, two = F.col("p")[0], F.coalesce(F.try_element_at(F.col("p"), F.lit(2)), F.lit(0.0))
+    lines = {False: F.array(F.struct(F.floor(one / width).alias("x"), F.floor(two / width).alias("y"))), True: F.flatten(F.transform(cells(one), lambda x: F.transform(cells(two), lambda y: F.struct(x.alias("x"), y.alias("y")))))}
+    count = SHARDS_LEAST
 
+    def written(side: DataFrame, train: bool) -> DataFrame:
+        line = side.select("key", "of", "p", F.explode(lines[train]).alias("c"))
+        body = F.concat(F.lit(_MARK), F.hex("of"), F.lit(" "), F.col("c.x").cast("string"), F.lit(" "), F.col("c.y").cast("string"), F.lit("."))
+        return line.select("key", "p", body.alias("body")).withColumn("shard", F.pmod(F.xxhash64("body"), F.lit(count)).cast("int"))
 
-def sample_links(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per evaluation sample that overlaps: ``eval_id``, its class ``key``, and its number of ``links``.
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        held, texts = group[~group.train], group[group.train]
+        out = [np.zeros((2, 0), np.int64)]
+        if len(held) and len(texts):
+            width_ = max(held.p.map(len).max(), texts.p.map(len).max())
+            of = lambda side: np.array([np.pad(x, (0, width_ - len(x))) for x in side.p])
+            pe, pt = of(held), of(texts)
+            for a, b, _ in _matches(held.body.tolist(), texts.body.tolist()):
+                near = np.abs(pe[a] - pt[b]).max(axis=1) <= tolerance * (1 + 1e-9)
+                out.append(np.stack([a[near], b[near]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"eval_key": held["key"].to_numpy()[a], "train_key": texts["key"].to_numpy()[b]})
+
+    dealt = _dealt(written(classes.where("in_eval"), False), written(classes.where("in_train"), True), ["key", "p", "body"])
+    links = dealt.repartition(task_count(predictions.sparkSession), "shard", "part").groupBy("shard", "part").applyInPandas(scan, "eval_key binary, train_key binary").distinct()
+    return links, members
+
+
+def expanded(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(``eval_id``, ``train_id``) of all rows of linked classes."""
+    evals = members.where(~F.col("train")).select(F.col("key").alias("ke"), F.col("id").alias("eval_id"))
+    trains = members.where("train").select(F.col("key").alias("kt"), F.col("id").alias("train_id"))
+    return links.join(evals, F.col("eval_key") == F.col("ke")).join(trains, F.col("train_key") == F.col("kt")).drop("ke", "kt")
 
-    Links are added up class by class; no class is expanded into pairs.
-    """
-    links, members = sample_overlaps(samples, similarity)
+
+def prediction_pairs(predictions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(``eval_id``, ``train_id``) of all predictions that overlap, classes expanded."""
+    return expanded(*prediction_overlaps(predictions, tolerance)).select("eval_id", "train_id")
+
+
+def _counted(links: DataFrame, members: DataFrame, *most: Column) -> DataFrame:
+    """One row per evaluation row that overlaps; links are added up class by class, no class is expanded into pairs."""
     trains = members.where("train").groupBy(F.col("key").alias("kt")).agg(F.count(F.lit(1)).alias("n"))
-    per_class = links.join(trains, F.col("train_key") == F.col("kt")).groupBy("eval_key").agg(F.sum("n").alias("links"))
+    per_class = links.join(trains, F.col("train_key") == F.col("kt")).groupBy("eval_key").agg(F.sum("n").alias("links"), *most)
     evals = members.where(~F.col("train")).select("key", F.col("id").alias("eval_id"))
-    return evals.join(per_class, F.col("key") == F.col("eval_key")).select("eval_id", "key", "links")
+    return evals.join(per_class, F.col("key") == F.col("eval_key")).drop("eval_key")
+
+
+def sample_links(samples: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``eval_id``, its class ``key``, its ``links``, its ``words``, and how many of these one partner's passages ``covered`` at most."""
+    links, members = sample_overlaps(samples, similarity)
+    return _counted(links, members, F.max("words").alias("words"), F.max("covered").alias("covered"))
 
 
 def prediction_links(predictions: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per evaluation prediction that recurs: ``eval_id`` and its number of ``links``."""
-    return prediction_pairs(predictions, tolerance).groupBy("eval_id").agg(F.count(F.lit(1)).alias("links"))
+    """``eval_id`` of every evaluation prediction that recurs, its class ``key`` and its ``links``."""
+    return _counted(*prediction_overlaps(predictions, tolerance))
 
 
 def report(links: DataFrame, rows: DataFrame, id_column: str) -> DataFrame:

@@ -30,6 +30,12 @@ def p3_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(overlap.sample_links(samples), samples, "sample_id")
 
 
+def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each leaked evaluation sample one training sample's matched passages cover at most."""
+    found = overlap.sample_links(load(spark, sf_dir, "samples"))
+    return found.select("eval_id", "links", "words", "covered", F.round(F.col("covered") / F.col("words"), 6).alias("portion"))
+
+
 def p3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions = load(spark, sf_dir, "predictions")
     return overlap.report(overlap.prediction_links(predictions), predictions, "pred_id")
@@ -100,6 +106,7 @@ QUERIES = {
     "p2_records": p2_records,
     "p3_found": p3_found,
     "p3_samples": p3_samples,
+    "p3_coverage": p3_coverage,
     "p3_predictions": p3_predictions,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,

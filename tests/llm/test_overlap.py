@@ -31,14 +31,23 @@ def test_samples_against_brute_force(spark):
     got = {(r.eval_id, r.train_id) for r in overlap.sample_pairs(samples).collect()}
     assert got == brute(rows, 0.7)
     assert (901, 900) in got
-    links = {r.eval_id: r.links for r in overlap.sample_links(samples).collect()}
-    assert links == {e: sum(x == e for x, _ in got) for e, _ in got}
+    links = {r.eval_id: (r.links, r.words, r.covered) for r in overlap.sample_links(samples).collect()}
+    assert {e: n for e, (n, _, _) in links.items()} == {e: sum(x == e for x, _ in got) for e, _ in got}
+    words = {r[0]: len(set(overlap._WORD.findall((r[3] or "").lower()))) for r in rows}
+    assert all(w == words[e] and 0 < c <= w for e, (_, w, c) in links.items()) and links[901][2] >= 2
+
+
+def test_hot_beginnings_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD_ROWS", 7)
+    rows = [(k, "t", "train" if k % 3 else "test", f"the same long house phrase of ten words and number {k % 50}", None, "x", "y") for k in range(200)]
+    samples = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.eval_id, r.train_id) for r in overlap.sample_pairs(samples).collect()} == brute(rows, 0.7)
 
 
 def test_passages_are_disjoint_and_enough():
     draw = np.random.default_rng(0)
     for n in range(1, 80):
-        words, cost = np.sort(draw.integers(0, 1 << 38, n)), draw.exponential(size=n) + 0.01
+        words, cost = np.sort(draw.integers(0, 1 << 54, n)), draw.exponential(size=n) + 0.01
         need = overlap.differences(n, 0.7) + 1
         spans = sorted(overlap.passages(words, cost, need))
         assert len(spans) == min(need, n)
