@@ -14,8 +14,8 @@ from lumenq.session import materialise
 
 #: Consecutive words that count as a passage.
 WINDOW = 10
-#: Windows of held-out items (8 bytes each) that are sent to every task; beyond it, windows are joined by a shuffle.
-BROADCAST_WINDOWS = 2_000_000
+#: Bits of the set of template hashes of held-out items: a fixed size. What it lets through is joined by the hash.
+SIEVE = 1 << 23
 
 _WORD = re.compile(r"[^\W_]+")
 _CLOSED = "the a an of was were is are and or it with on since as our its t can be we team which what who when where while did does each no"
@@ -95,10 +95,16 @@ class Windows:
         self.at = np.flatnonzero(owner[:n] == owner[window - 1 : window - 1 + n])
         self.row = owner[self.at]
         self.pos = self.at - starts[self.row]
-        self.own = np.ascontiguousarray(codes[:, 0])
-        self.flat = _rolling(np.ascontiguousarray(codes[:, 1]), self.at, window)
-        self.cased = _rolling(np.ascontiguousarray(codes[:, 2]), self.at, window)
         self.window = window
+        self.own, *others = (np.ascontiguousarray(codes[:, k]) for k in range(3))
+        #: (hashes under a template, windows that are looked up under it).
+        self.templates = [(_rolling(self.own, self.at, window), np.arange(len(self.at)))]
+        for coded in others:
+            hashes = _rolling(coded, self.at, window)
+            slots = np.concatenate([[0], np.cumsum(coded != self.own)])
+            filled = slots[self.at + window] - slots[self.at]
+            # A window that is mostly placeholders says nothing; one without new ones was looked up before.
+            self.templates.append((hashes, np.flatnonzero((hashes != self.templates[-1][0]) & (window - filled >= window // 2))))
 
     def frame(self, ids: np.ndarray, key: str, picked: np.ndarray, template: np.ndarray) -> pd.DataFrame:
         """Rows of the windows ``picked``, under the given template hashes."""
@@ -110,28 +116,19 @@ class Windows:
 _SCHEMA = "{id} long, pos int, template long, codes array<long>"
 
 
-def _windows(table: DataFrame, key: str, wanted: np.ndarray | None, window: int) -> DataFrame:
-    """Windows of the whole texts under both templates; only those of a ``wanted`` hash where it is given."""
+def _windows(table: DataFrame, key: str, sieve: np.ndarray | None, window: int) -> DataFrame:
+    """Windows of the whole texts under the three templates; only those that the ``sieve`` lets through where it is given."""
+    packed = None if sieve is None else np.packbits(sieve)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
-        if wanted is not None:
-            # Most windows are answered by one look-up in a table of 16 bits or more a hash.
-            bits = max(16, len(wanted).bit_length() + 4)
-            shift = np.uint64(64 - bits)
-            sieve = np.zeros(1 << bits, bool)
-            sieve[wanted.view(np.uint64) >> shift] = True
+        opened = None if packed is None else np.unpackbits(packed).astype(bool)
         for b in batches:
             found = Windows(b["text"], words, window)
             ids = b[key].to_numpy()
-            for template in (found.flat, found.cased):
-                picked = np.arange(len(template))
-                if template is found.cased:
-                    picked = picked[found.cased != found.flat]
-                if wanted is not None and len(wanted):
-                    picked = picked[sieve[template[picked].view(np.uint64) >> shift]]
-                    place = np.minimum(np.searchsorted(wanted, template[picked]), len(wanted) - 1)
-                    picked = picked[wanted[place] == template[picked]]
+            for template, picked in found.templates:
+                if opened is not None:
+                    picked = picked[opened[template[picked] & (SIEVE - 1)]]
                 if len(picked):
                     yield found.frame(ids, key, picked, template)
 
@@ -139,37 +136,38 @@ def _windows(table: DataFrame, key: str, wanted: np.ndarray | None, window: int)
     return source.mapInPandas(run, _SCHEMA.format(id=key))
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def _sieve(held: DataFrame) -> np.ndarray:
+    """Which of SIEVE slots the items' templates fill; at most SIEVE / 64 numbers come to the driver."""
+    slot = F.col("template").bitwiseAND(F.lit(SIEVE - 1))
+    words = held.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(template & 63 as int)))").alias("bits"))
+    out = np.zeros(SIEVE // 64, np.int64)
+    for r in words.collect():
+        out[r["word"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Passages of ``items`` in ``documents``: ``doc_id``, ``item_id``, ``passages``, ``literal``, ``reparameterised``.
 
     ``documents`` has ``doc_id`` and ``text``, ``items`` has ``item_id`` and ``text``; other
-    columns are ignored. Both texts are cut into all windows of ``window`` words, numbers,
-    names and units are replaced by typed placeholders, and windows are joined by the hash of
-    the result. A joined window counts as ``literal`` if all words are equal, as
-    ``reparameterised`` if the fillings of its placeholders correspond one to one; any other is
-    dropped. Texts that are null or shorter than a window match nothing; repeated items and
-    documents each get their rows. An empty table on either side gives an empty result.
-
-    The items' distinct hashes go to every task while they are at most ``broadcast_windows``
-    (8 bytes each), and only matching windows leave the scan of the documents; with more items
-    all windows are joined by a shuffle.
+    columns are ignored. Both texts are cut into all windows of ``window`` words, and windows are
+    joined by the hash of their template: the words themselves; numbers and units as typed
+    placeholders; names too. Templates with placeholders count where half of the words are none.
+    A place of the document is ``literal`` if all words of a joined window are equal, else
+    ``reparameterised`` if the fillings correspond one to one; any other is dropped. Texts that
+    are null or shorter than a window match nothing; repeated items and documents each get their
+    rows. An empty table on either side gives an empty result.
+
+    A sieve of fixed size over the items' hashes keeps most windows of the documents in the scan;
+    those it lets through are joined by a shuffle, however many items there are.
     """
     held = materialise(_windows(items, "item_id", None, window), "item-windows")
-    hashes = held.select("template").distinct()
-    wanted = None
-    if hashes.count() <= broadcast_windows:
-        wanted = np.sort(np.array([r.template for r in hashes.collect()], np.int64))
-        if not len(wanted):
-            wanted = np.zeros(1, np.int64)
-    seen = _windows(documents, "doc_id", wanted, window)
-    pairs = seen.select("doc_id", F.col("template").alias("t__"), F.col("codes").alias("d__")).join(held, F.col("t__") == F.col("template"))
+    seen = _windows(documents, "doc_id", _sieve(held), window)
+    pairs = seen.select("doc_id", F.col("pos").alias("at"), F.col("template").alias("t__"), F.col("codes").alias("d__")).join(held, F.col("t__") == F.col("template"))
     both = F.arrays_zip(F.col("d__"), F.col("codes"))
     kinds = F.size(F.array_distinct(both))
     literal = F.col("d__") == F.col("codes")
     consistent = (kinds == F.size(F.array_distinct("d__"))) & (kinds == F.size(F.array_distinct("codes")))
-    checked = pairs.select("doc_id", "item_id", "pos", literal.alias("lit"), consistent.alias("fit")).where(F.col("lit") | F.col("fit"))
-    return checked.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("pos").alias("passages"),
-        F.count_distinct(F.when(F.col("lit"), F.col("pos"))).alias("literal"),
-        F.count_distinct(F.when(~F.col("lit"), F.col("pos"))).alias("reparameterised"),
-    )
+    checked = pairs.select("doc_id", "item_id", "at", literal.alias("lit"), consistent.alias("fit")).where(F.col("lit") | F.col("fit"))
+    places = checked.groupBy("doc_id", "item_id", "at").agg(F.bool_or("lit").cast("long").alias("lit"))
+    return places.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("lit").alias("literal"), F.sum(1 - F.col("lit")).alias("reparameterised"))
