@@ -72,7 +72,7 @@ def _mapped(function: Callable[[str], str | None]) -> Callable[[str], Column]:
 
 def _raw_key(family: Column, state: Column) -> Column:
     """256 bits that stand for the byte-identical raw row; the family's length keeps the two apart."""
-    return F.sha2(F.concat_ws("|", F.coalesce(F.length(family).cast("string"), F.lit("-")), F.coalesce(family, F.lit("")), state), 256)
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.length(family).cast("string"), F.lit("-")), F.coalesce(family, F.lit("")), state), 256))
 
 
 def _groups(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,14 +81,16 @@ def _groups(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = rows.groupBy("f__", "s__").agg(F.count(F.lit(1)).alias("n__"), F.min("id__").alias("first__"))
     canonical = raw.select(
         _raw_key(F.col("f__"), F.col("s__")).alias("raw_key"),
-        _mapped(_plain)("f__").alias("family_key"),
+        F.lower(F.regexp_replace("f__", r"[^\p{L}\p{N}]+", "")).alias("family_key"),
         _mapped(canonical_state)("s__").alias("text_key"),
         "n__",
         "first__",
     ).where(F.col("text_key").isNotNull())
-    # Read twice below: written once, so that nothing is canonicalised a second time.
-    canonical = materialise(canonical, "formats")
-    records = canonical.groupBy("family_key", "text_key").agg(
+    # Read twice below: written once, so that nothing is canonicalised a second time. 256 bits stand for the canonical text.
+    digest = F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.length("family_key").cast("string"), F.lit("-")), F.coalesce("family_key", F.lit("")), "text_key"), 256))
+    canonical = materialise(canonical.withColumn("record_key", digest).drop("text_key"), "formats")
+    records = canonical.groupBy("record_key").agg(
+        F.first("family_key").alias("family_key"),
         F.min("first__").alias("keep_id"),
         F.sum("n__").alias("copies"),
         F.count(F.lit(1)).alias("writings"),
@@ -114,7 +116,7 @@ def collapse(examples: DataFrame) -> DataFrame:
 def members(examples: DataFrame) -> DataFrame:
     """(``example_id``, ``keep_id``) for every row of a record with several copies."""
     canonical, records = _groups(examples)
-    shared = records.where(F.col("copies") > 1).select(F.col("family_key").alias("fk"), F.col("text_key").alias("tk"), "keep_id")
-    mapping = canonical.join(shared, F.col("family_key").eqNullSafe(F.col("fk")) & (F.col("text_key") == F.col("tk"))).select("raw_key", "keep_id")
+    shared = records.where(F.col("copies") > 1).select(F.col("record_key").alias("rk"), "keep_id")
+    mapping = canonical.join(shared, F.col("record_key") == F.col("rk")).select("raw_key", "keep_id")
     rows = examples.where(F.col("state").isNotNull()).select("example_id", _raw_key(F.col("family"), F.col("state")).alias("key__"))
     return rows.join(mapping, F.col("key__") == F.col("raw_key")).select("example_id", "keep_id")

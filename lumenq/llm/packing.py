@@ -5,19 +5,21 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import PurePath
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.session import materialise
+from lumenq.session import materialise, task_count
 
 #: A public byte-level vocabulary: one base64 token and its rank a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary splits text before merging bytes.
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Items that are packed together, about; each such lot is one task's work.
+#: Items that are packed together, about; a task packs one such lot after the other.
 LOT_ITEMS = 8_192
 
 
@@ -31,10 +33,15 @@ def _encoder(vocabulary: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id`` and ``n_tokens`` of every text that has a token; whole texts are encoded."""
+    """``doc_id`` and ``n_tokens`` of every text that has a token; whole texts are encoded.
+
+    The vocabulary file (a few MB) is read on the driver's machine and sent to the workers.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = PurePath(vocabulary).name
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": np.array([len(encode(t)) for t in b.text], np.int64)})
 
@@ -161,7 +168,7 @@ def containers(counts: DataFrame, kinds: DataFrame, lot_items: int = LOT_ITEMS)
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
 
     items = counts.where(F.col("n_tokens") > 0).select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(lots)).alias("lot"))
-    spread = items.repartition(lots, "lot")
+    spread = items.repartition(task_count(counts.sparkSession), "lot")
     return spread.groupBy("lot").applyInPandas(pack_lot, "container_kind string, container_id long, doc_id long, part long, n_tokens long")
 
 
@@ -175,3 +182,23 @@ def fill(assigned: DataFrame, kinds: DataFrame) -> DataFrame:
     per_bin = assigned.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("items"))
     per_kind = per_bin.groupBy("container_kind").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.sum("items").alias("items"), F.max("used").alias("fullest"))
     return per_kind.join(kinds.select("container_kind", "capacity_tokens"), "container_kind").withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def conserved(counts: DataFrame, assigned: DataFrame, kinds: DataFrame) -> DataFrame:
+    """What must hold of a packing, per kind: its ``documents``, and zeros.
+
+    ``lost_tokens``: tokens of documents that no container holds, or holds twice; ``overfull``
+    containers; ``needless_splits``: documents in several parts that would have fitted into one.
+    """
+    capacity = kinds.where(F.col("capacity_tokens") >= 1).select(F.col("container_kind").alias("ck"), F.col("capacity_tokens").alias("room"))
+    per_doc = assigned.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("parts"))
+    wanted = counts.where(F.col("n_tokens") > 0).select(F.col("doc_id").alias("d__"), "n_tokens").join(F.broadcast(capacity))
+    joined = wanted.join(per_doc, (F.col("d__") == F.col("doc_id")) & (F.col("ck") == F.col("container_kind")), "full")
+    by_kind = joined.groupBy(F.coalesce("ck", "container_kind").alias("container_kind")).agg(
+        F.count("d__").alias("documents"),
+        F.sum(F.abs(F.coalesce("n_tokens", F.lit(0)) - F.coalesce("held", F.lit(0)))).alias("lost_tokens"),
+        F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= F.col("room"))).alias("needless_splits"),
+    )
+    bins = assigned.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(capacity), F.col("container_kind") == F.col("ck"))
+    over = bins.groupBy("ck").agg(F.count_if(F.col("used") > F.col("room")).alias("overfull"))
+    return by_kind.join(over, F.col("container_kind") == F.col("ck"), "left").select("container_kind", "documents", "lost_tokens", F.coalesce("overfull", F.lit(0)).cast("long").alias("overfull"), "needless_splits")

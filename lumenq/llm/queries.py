@@ -65,7 +65,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, sf_dir)
+    """Targets and counts; whether rows lack, and whether what is taken is within its bounds and agrees with that."""
+    planned = _plan(spark, sf_dir)
+    lacks = ~F.col("met") & (F.col("cause") == "rows")
+    within = (F.col("take") <= F.col("have")) & (F.col("take") >= F.least("have", "min_rows")) & (F.col("met") | F.col("cause").isNotNull())
+    return planned.select("source_name", "label", "target_pct", "min_rows", "size", "have", F.coalesce(lacks, F.lit(False)).alias("lacks_rows"), F.coalesce(within, F.lit(False)).alias("within")).distinct()
+
+
+def p5_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, sf_dir).select("source_name", "label", "take", "met", "cause")
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +89,13 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_packed(spark, sf_dir), load(spark, sf_dir, "containers"))
 
 
+def p6_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each kind of container, and what a packing must not do: lose tokens, overfill, split needlessly."""
+    kinds = load(spark, sf_dir, "containers")
+    counts = materialise(packing.token_counts(load(spark, sf_dir, "documents")), "token-counts")
+    return packing.conserved(counts, materialise(packing.containers(counts, kinds), "packed"), kinds)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "test_items"))
 
@@ -112,9 +127,11 @@ QUERIES = {
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_plan": p5_plan,
+    "p5_taken": p5_taken,
     "p5_sample": p5_sample,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_conserved": p6_conserved,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
@@ -161,6 +178,22 @@ WITH h AS (SELECT source, {_CLEAN.format("label")} AS lk, count(DISTINCT labelle
 SELECT DISTINCT t.source_name, t.label FROM targets t JOIN sources s USING (source_name)
 LEFT JOIN h ON h.source = t.source_name AND h.lk = {_CLEAN.format("t.label")}
 WHERE coalesce(h, 0) * 100 < target_pct * per_class * len(label_list) OR coalesce(h, 0) < min_rows""",
+    "p5_plan": f"""
+WITH h AS (SELECT source, {_CLEAN.format("label")} AS lk, count(DISTINCT labelled_id) AS have FROM labelled GROUP BY 1, 2)
+SELECT DISTINCT t.source_name, t.label, target_pct::BIGINT AS target_pct, min_rows::BIGINT AS min_rows, (per_class * len(label_list))::BIGINT AS size, coalesce(have, 0) AS have,
+  coalesce(have, 0) * 100 < target_pct * per_class * len(label_list) OR coalesce(have, 0) < min_rows AS lacks_rows, true AS within FROM targets t JOIN sources s USING (source_name)
+LEFT JOIN h ON h.source = t.source_name AND h.lk = {_CLEAN.format("t.label")}""",
+    "p6_conserved": "SELECT container_kind, (SELECT count(*) FROM documents WHERE length(text) > 0) AS documents, 0::BIGINT AS lost_tokens, 0::BIGINT AS overfull, 0::BIGINT AS needless_splits FROM containers",
+    "p7_leaks": rf"""
+WITH t AS (SELECT true AS doc, doc_id AS id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w FROM documents UNION ALL SELECT false, item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') FROM test_items),
+o AS (SELECT *, list_transform(w, lambda x: lower(x)) AS own, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '#' WHEN list_contains({templates._UNITS.split()}, lower(x)) THEN '%' ELSE lower(x) END) AS flat FROM t WHERE len(w) >= 10),
+c AS (SELECT *, list_transform(w, lambda x, i: CASE WHEN flat[i] = own[i] AND regexp_matches(x, '^\p{{Lu}}') AND NOT list_contains({templates._CLOSED.split()}, own[i]) THEN '@' ELSE flat[i] END) AS cased FROM o),
+g AS (SELECT doc, id, p, own[p:p+9] AS o, flat[p:p+9] AS f, cased[p:p+9] AS c FROM (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM c)),
+k AS (SELECT doc, id, p, o, o AS t FROM g UNION ALL SELECT doc, id, p, o, f FROM g WHERE f <> o AND len(list_filter(f, lambda x: x IN ('#', '%'))) <= 5
+  UNION ALL SELECT doc, id, p, o, c FROM g WHERE c <> f AND len(list_filter(c, lambda x: x IN ('#', '%', '@'))) <= 5),
+m AS (SELECT a.id AS doc_id, b.id AS item_id, a.p, bool_or(a.o = b.o)::BIGINT AS lit FROM k a JOIN k b ON a.doc AND NOT b.doc AND a.t = b.t
+  WHERE a.o = b.o OR (len(list_distinct(list_zip(a.o, b.o))) = len(list_distinct(a.o)) AND len(list_distinct(list_zip(a.o, b.o))) = len(list_distinct(b.o))) GROUP BY ALL)
+SELECT doc_id, item_id, count(*) AS passages, sum(lit)::BIGINT AS literal, sum(1 - lit)::BIGINT AS reparameterised FROM m GROUP BY ALL""",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM test_items),
