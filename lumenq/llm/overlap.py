@@ -18,11 +18,13 @@ SIMILARITY = 0.7
 TOLERANCE = 0.000002
 #: Counters of the word-frequency sketch, a fixed size whatever the vocabulary.
 SKETCH = 1 << 16
-#: Bits of the set of beginnings of evaluation passages, a fixed size too. What it lets through is matched exactly.
-GATE = 1 << 22
-#: Rows of either side that one automaton's task gets at most, about: it bounds the task's memory.
-SHARD_ROWS = 40_000
-SHARDS_LEAST = 48
+#: Hash ranges of words that are counted to lay out shards, a fixed number too.
+RANGES = 4096
+#: Passages of one automaton, and training and evaluation records of one task, about: they bound a task's memory.
+SHARD_PASSAGES, SHARD_ROWS, SHARD_HELD = 250_000, 60_000, 500_000
+SHARDS_LEAST = 8
+#: Share of the records from which a word doesn't begin a passage if others can.
+FREQUENT = 1 / 8
 #: Most words in one passage, and bits of the sketch of a record's words.
 LONGEST = 6
 BITS = 512
@@ -31,8 +33,8 @@ _WORD = re.compile(r"[^\W_]+")
 _TRAIN = "train"
 #: A word is 54 bits, written as three characters of disjoint ranges so that a match can't start inside a word.
 _WORD_BITS, _THIRD = 54, 18
-_RANGES = (0x10000, 0x50000, 0x90000)
-#: Stands before each stretch and passage, so that a passage matches at the beginning of a stretch only.
+_PLANES = (0x10000, 0x50000, 0x90000)
+#: Stands between passages.
 _MARK = "\n"
 
 
@@ -56,6 +58,10 @@ class _Codes(dict):
         return code
 
 
+def _range(codes: np.ndarray) -> np.ndarray:
+    return codes >> (_WORD_BITS - RANGES.bit_length() + 1)
+
+
 def _codes_of(words, codes: _Codes) -> np.ndarray:
     return np.array([codes[w] for w in words], np.int64)
 
@@ -75,23 +81,30 @@ def word_sets(samples: DataFrame) -> DataFrame:
     return found.withColumn("key", F.unhex(F.md5(F.concat_ws(" ", "words"))))
 
 
-def _sketch(classes: DataFrame) -> np.ndarray:
-    """Share of the records that hold a word of each of SKETCH hash buckets (an upper bound for the word's own)."""
+def _census(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share of the records that hold a word of each of SKETCH hash buckets, an upper bound for the word's own;
+    training and evaluation records with a word in each of RANGES hash ranges). All of fixed size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH + 2 * RANGES, np.int64)
         codes = _Codes()
         for b in batches:
-            if len(b):
-                total += np.bincount(_codes_of(np.concatenate(b.words.tolist()), codes) % SKETCH, minlength=SKETCH)
+            if not len(b):
+                continue
+            sizes = b.words.map(len).to_numpy()
+            flat, owner = _codes_of(np.concatenate(b.words.tolist()), codes), np.repeat(np.arange(len(b)), sizes)
+            total[:SKETCH] += np.bincount(flat % SKETCH, minlength=SKETCH)
+            cell = np.unique(owner * RANGES + _range(flat))
+            for k, side in enumerate((b.in_train.to_numpy(), b.in_eval.to_numpy())):
+                total[SKETCH + k * RANGES : SKETCH + (k + 1) * RANGES] += np.bincount(cell[side[cell // RANGES]] % RANGES, minlength=RANGES)
         used = np.flatnonzero(total)
         yield pd.DataFrame({"slot": used.astype("int32"), "n": total[used]})
 
-    counted = classes.select("words").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(SKETCH)
+    counted = classes.select("words", "in_train", "in_eval").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(SKETCH + 2 * RANGES)
     for r in counted:
         out[r.slot] = r.n
-    return out
+    return out[:SKETCH], out[SKETCH : SKETCH + RANGES], out[SKETCH + RANGES :]
 
 
 def differences(n: int, similarity: float) -> int:
@@ -105,35 +118,41 @@ def passages(words: np.ndarray, cost: np.ndarray, need: int) -> list[tuple[int,
     ``cost`` is the surprise (negative logarithm of the share of records) of each word. If two
     records differ in fewer words than there are stretches, one stretch is untouched: it stands
     word for word, side by side, in the other record as well. Stretches are cut at an equal
-    share of the surprise; words that no cut needs are left to the stretch before.
+    share of the surprise. None begins with a frequent word if there are enough without.
     """
     n = len(words)
     if need >= n:
         return [(k, k + 1) for k in range(n)]
     surprise = cost.tolist()
-    low, high, best = 0.0, sum(surprise) / need + 1e-9, None
-    for _ in range(9):
-        mid = (low + high) / 2
-        cuts, held, begin = [], 0.0, 0
-        for k, x in enumerate(surprise, 1):
-            held += x
-            if held >= mid or k - begin == LONGEST:
-                cuts.append(k)
-                begin, held = k, 0.0
-        if len(cuts) >= need:
-            low, best = mid, cuts
-        else:
-            high = mid
-    cuts = best or list(range(1, n + 1))
+    for least in (-np.log(FREQUENT), 0.0):
+        low, high, best = 0.0, sum(surprise) / need + 1e-9, None
+        for _ in range(9):
+            mid = (low + high) / 2
+            spans, held, begin = [], 0.0, -1
+            for k, x in enumerate(surprise):
+                if begin < 0:
+                    if x < least:
+                        continue
+                    begin, held = k, 0.0
+                held += x
+                if held >= mid or k - begin == LONGEST - 1:
+                    spans.append((begin, k + 1))
+                    begin = -1
+            if len(spans) >= need:
+                low, best = mid, spans
+            else:
+                high = mid
+        if best:
+            break
+    best = best or [(k, k + 1) for k in range(n)]
     sums = np.concatenate([[0.0], np.cumsum(cost)])
-    spans = list(zip([0, *cuts[:-1]], cuts, strict=True))
-    spans.sort(key=lambda s: sums[s[0]] - sums[s[1]])
-    return spans[:need]
+    best.sort(key=lambda s: sums[s[0]] - sums[s[1]])
+    return best[:need]
 
 
 def _text(words: np.ndarray) -> str:
     parts = np.empty(3 * len(words), np.uint32)
-    for k, begin in enumerate(_RANGES):
+    for k, begin in enumerate(_PLANES):
         parts[k::3] = begin + (words >> ((2 - k) * _THIRD) & ((1 << _THIRD) - 1))
     return parts.tobytes().decode("utf-32-le")
 
@@ -144,77 +163,53 @@ def _bits(words: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
-def _beginnings(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each word alone, and of each word with the next one (the last has none)."""
-    x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    alone = x ^ (x >> np.uint64(29))
-    pair = (alone[:-1] * np.uint64(0xBF58476D1CE4E5B9)) + np.roll(x, -1)[:-1]
-    return alone >> np.uint64(1), (pair ^ (pair >> np.uint64(31))) >> np.uint64(1)
-
-
-_ROUTED = "shard int, key binary, n int, bits binary, body string"
+def _route(classes: DataFrame, similarity: float, shards: int | None) -> DataFrame:
+    """Passages of evaluation records, and stretches of training records, by the shard (a hash range) of their first word.
 
-
-def _passage_rows(classes: DataFrame, similarity: float, shards: int) -> DataFrame:
-    """Passages of evaluation records by the shard of their beginning, with the hashes of the beginnings."""
-    counts = _sketch(classes)
+    A shard whose range too many records have a word in is cut into parts: parts of one side meet
+    all parts of the other, so that a word that most records have is worked on by many tasks and
+    none of its matches is lost.
+    """
+    counts, trains, evals = _census(classes)
     surprise = -np.log(np.maximum(counts, 1) / max(1.0, counts.max()) * 0.95)
+    sizes = classes.agg(F.count_if("in_train"), F.count_if("in_eval"), F.sum(F.when(F.col("in_eval"), F.size("words")))).first()
+    # About every other word begins a passage.
+    shards = min(RANGES, shards or max(SHARDS_LEAST, -(-(sizes[2] or 0) // (2 * SHARD_PASSAGES))))
+    shard_of = np.arange(RANGES) * shards // RANGES
+    cut = lambda n, most, bound: np.maximum(1, -(-np.minimum(np.bincount(shard_of, n, shards), most) // bound)).astype(int).tolist()
+    parts_t, parts_e = cut(trains, sizes[0], SHARD_ROWS), cut(evals, sizes[1], SHARD_HELD)
+    columns = ["shard", "part", "train", "key", "n", "bits", "body"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         need: dict[int, int] = {}
         codes = _Codes()
         for b in batches:
             out: list[tuple] = []
-            for key, listed in zip(b["key"], b.words, strict=True):
+            for key, in_train, in_eval, listed in zip(b["key"], b.in_train, b.in_eval, b.words, strict=True):
                 words = _codes_of(listed, codes)
                 n, bits, text = len(words), _bits(words), _text(words)
-                if n not in need:
-                    need[n] = differences(n, similarity) + 1
-                alone, pair = _beginnings(words)
-                chosen: dict[int, list[tuple[int, str]]] = {}
-                for begin, end in passages(words, surprise[words % SKETCH], need[n]):
-                    gate = int(alone[begin] if end - begin == 1 else pair[begin])
-                    chosen.setdefault(gate % shards, []).append((gate, _MARK + text[3 * begin : 3 * end]))
-                out += [(s, key, n, bits, "".join(t for _, t in held), [g for g, _ in held]) for s, held in chosen.items()]
-            yield pd.DataFrame(out, columns=["shard", "key", "n", "bits", "body", "gates"])
-
-    return classes.where("in_eval").select("key", "words").mapInPandas(run, _ROUTED + ", gates array<long>")
-
-
-def _gate(passages_: DataFrame) -> np.ndarray:
-    """GATE bits: which beginnings evaluation passages have. At most GATE / 64 numbers come to the driver."""
-    slot = F.pmod(F.col("g"), F.lit(GATE))
-    bits = passages_.select(F.explode("gates").alias("g")).groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(g, {GATE}) & 63 as int)))").alias("bits"))
-    out = np.zeros(GATE // 64, np.int64)
-    for r in bits.collect():
-        out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _stretch_rows(classes: DataFrame, gate: np.ndarray, shards: int) -> DataFrame:
-    """Stretches of training records at which a passage may begin, by the shard of that beginning."""
-    packed = np.packbits(gate)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = _Codes()
-        opened = np.unpackbits(packed).astype(bool)
-        for b in batches:
-            out: list[tuple] = []
-            for key, listed in zip(b["key"], b.words, strict=True):
-                words = _codes_of(listed, codes)
-                alone, pair = _beginnings(words)
-                at = [(int(alone[k]) % shards, k) for k in np.flatnonzero(opened[alone % np.uint64(GATE)])]
-                at += [(int(pair[k]) % shards, k) for k in np.flatnonzero(opened[pair % np.uint64(GATE)])]
-                if not at:
-                    continue
-                n, bits, text = len(words), _bits(words), _text(words)
-                places: dict[int, set[int]] = {}
-                for shard, k in at:
-                    places.setdefault(shard, set()).add(k)
-                out += [(s, key, n, bits, "".join(_MARK + text[3 * k : 3 * (k + LONGEST)] for k in sorted(ks))) for s, ks in places.items()]
-            yield pd.DataFrame(out, columns=["shard", "key", "n", "bits", "body"])
-
-    return classes.where("in_train").select("key", "words").mapInPandas(run, _ROUTED)
+                shard, salt = shard_of[_range(words)], int.from_bytes(key[:4], "little")
+                if in_train:
+                    edges = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                    for begin, last in zip(edges, [*edges[1:], n], strict=True):
+                        # Passages that begin in the shard may run on into the next one.
+                        s, body = int(shard[begin]), text[3 * begin : 3 * (last + LONGEST - 1)]
+                        out += [(s, salt % parts_t[s] * parts_e[s] + k, True, key, n, bits, body) for k in range(parts_e[s])]
+                if in_eval:
+                    if n not in need:
+                        need[n] = differences(n, similarity) + 1
+                    chosen: dict[int, list[str]] = {}
+                    for begin, end in passages(words, surprise[words % SKETCH], need[n]):
+                        chosen.setdefault(int(shard[begin]), []).append(text[3 * begin : 3 * end])
+                    for s, texts in chosen.items():
+                        body = _MARK.join(texts)
+                        out += [(s, k * parts_e[s] + salt % parts_e[s], False, key, n, bits, body) for k in range(parts_t[s])]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    return classes.mapInPandas(run, "shard int, part int, train boolean, key binary, n int, bits binary, body string")
 
 
 def _matches(held: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -225,7 +220,7 @@ def _matches(held: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np
     owners: list[list[int]] = []
     lengths: list[int] = []
     for k, body in enumerate(held):
-        for passage in body.split(_MARK)[1:]:
+        for passage in body.split(_MARK):
             number = numbers.setdefault(passage, len(owners))
             if number == len(owners):
                 owners.append([])
@@ -235,7 +230,7 @@ def _matches(held: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np
         return
     automaton = ahocorasick.Automaton()
     for passage, number in numbers.items():
-        automaton.add_word(_MARK + passage, number)
+        automaton.add_word(passage, number)
     automaton.make_automaton()
     sizes = np.array([len(o) for o in owners])
     starts = np.cumsum(sizes) - sizes
@@ -285,29 +280,6 @@ def _scan(similarity: float):
     return scan
 
 
-def _dealt(held: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
-    """Both sides with ``train`` and ``part``: a shard of more than SHARD_ROWS rows of a side is cut into parts.
-
-    Parts of one side meet all parts of the other, so that a beginning that a third of all records
-    has is worked on by many tasks, and none of its matches is lost.
-    """
-
-    def counted(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(F.col("shard").alias("s__")).agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias(name))
-
-    parts = counted(held, "ph").join(counted(texts, "pt"), "s__")
-
-    def placed(side: DataFrame, train: bool) -> DataFrame:
-        own, other = ("pt", "ph") if train else ("ph", "pt")
-        rows = side.join(parts, F.col("shard") == F.col("s__"))
-        mine = F.pmod(F.xxhash64(by[0]), F.col(own)).cast("int")
-        rows = rows.withColumn("own__", mine).withColumn("other__", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        part = F.col("own__") * F.col(other) + F.col("other__") if not train else F.col("other__") * F.col(own) + F.col("own__")
-        return rows.select(F.lit(train).alias("train"), "shard", part.alias("part"), *by)
-
-    return placed(held, False).unionByName(placed(texts, True))
-
-
 def sample_overlaps(samples: DataFrame, similarity: float = SIMILARITY, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(links between classes: ``eval_key``, ``train_key``, ``covered``, ``words``, ``similarity``; members: ``key``, ``id``, ``train``).
 
@@ -318,20 +290,16 @@ def sample_overlaps(samples: DataFrame, similarity: float = SIMILARITY, shards:
     Words are ordered by a hash, which makes a record a passage that doesn't depend on the order
     of its text. Each evaluation record is cut into one more stretch than the number of words
     it may differ in, so that at least one stands unchanged, word beside word, in every
-    training record similar enough: no link is lost. Passages are sharded by their first two words
-    (or only one), and a training record goes to a shard only with the stretches that begin like
-    a passage there. The shard's automaton scans them; matches are merged into ``covered``, the
-    number of the evaluation record's ``words`` in matched passages, after 512 bits of each record
-    ruled out what can't be similar. The remaining pairs are checked on the words themselves.
+    training record similar enough: no link is lost. An automaton for each hash range scans the
+    part of every training record in that range; matches are merged into ``covered``, the number
+    of the evaluation record's ``words`` in matched passages, after 512 bits of each record ruled
+    out what can't be similar. The remaining pairs are checked on the words themselves.
     """
     sets = materialise(word_sets(samples), "word-sets")
     members = sets.select("key", "id", "train")
     classes = sets.groupBy("key").agg(F.first("words").alias("words"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval"))
     classes = materialise(classes, "word-classes")
-    count = shards or max(SHARDS_LEAST, -(-classes.count() // SHARD_ROWS) * SHARDS_LEAST)
-    held = materialise(_passage_rows(classes, similarity, count), "passages")
-    texts = materialise(_stretch_rows(classes, _gate(held), count), "stretches")
-    rows = _dealt(held, texts, ["key", "n", "bits", "body"])
+    rows = _route(classes, similarity, shards)
     hits = rows.repartition(task_count(samples.sparkSession), "shard", "part").groupBy("shard", "part").applyInPandas(_scan(similarity), "eval_key binary, train_key binary, covered int")
     merged = materialise(hits.groupBy("eval_key", "train_key").agg(F.sum("covered").cast("long").alias("covered")), "overlap-candidates")
     a = classes.select(F.col("key").alias("ka"), F.col("words").alias("wa"))
@@ -382,12 +350,13 @@ def prediction_overlaps(predictions: DataFrame, tolerance: float = TOLERANCE) ->
 
     one, two = F.col("p")[0], F.coalesce(F.try_element_at(F.col("p"), F.lit(2)), F.lit(0.0))
     lines = {False: F.array(F.struct(F.floor(one / width).alias("x"), F.floor(two / width).alias("y"))), True: F.flatten(F.transform(cells(one), lambda x: F.transform(cells(two), lambda y: F.struct(x.alias("x"), y.alias("y")))))}
-    count = SHARDS_LEAST
+    # Copies are folded into classes, so that no passage is that of many rows.
+    count = max(12, -(-members.count() // SHARD_PASSAGES) * 4)
 
     def written(side: DataFrame, train: bool) -> DataFrame:
         line = side.select("key", "of", "p", F.explode(lines[train]).alias("c"))
-        body = F.concat(F.lit(_MARK), F.hex("of"), F.lit(" "), F.col("c.x").cast("string"), F.lit(" "), F.col("c.y").cast("string"), F.lit("."))
-        return line.select("key", "p", body.alias("body")).withColumn("shard", F.pmod(F.xxhash64("body"), F.lit(count)).cast("int"))
+        body = F.concat(F.hex("of"), F.lit(" "), F.col("c.x").cast("string"), F.lit(" "), F.col("c.y").cast("string"), F.lit("."))
+        return line.select(F.lit(train).alias("train"), "key", "p", body.alias("body")).withColumn("shard", F.pmod(F.xxhash64("body"), F.lit(count)).cast("int"))
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         held, texts = group[~group.train], group[group.train]
@@ -402,8 +371,8 @@ def prediction_overlaps(predictions: DataFrame, tolerance: float = TOLERANCE) ->
         a, b = np.concatenate(out, axis=1)
         return pd.DataFrame({"eval_key": held["key"].to_numpy()[a], "train_key": texts["key"].to_numpy()[b]})
 
-    dealt = _dealt(written(classes.where("in_eval"), False), written(classes.where("in_train"), True), ["key", "p", "body"])
-    links = dealt.repartition(task_count(predictions.sparkSession), "shard", "part").groupBy("shard", "part").applyInPandas(scan, "eval_key binary, train_key binary").distinct()
+    rows = written(classes.where("in_eval"), False).unionByName(written(classes.where("in_train"), True))
+    links = rows.repartition(task_count(predictions.sparkSession), "shard").groupBy("shard").applyInPandas(scan, "eval_key binary, train_key binary").distinct()
     return links, members
 
 

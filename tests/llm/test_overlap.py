@@ -39,6 +39,7 @@ def test_samples_against_brute_force(spark):
 
 def test_hot_beginnings_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(overlap, "SHARD_ROWS", 7)
+    monkeypatch.setattr(overlap, "SHARD_HELD", 5)
     rows = [(k, "t", "train" if k % 3 else "test", f"the same long house phrase of ten words and number {k % 50}", None, "x", "y") for k in range(200)]
     samples = spark.createDataFrame(rows, SCHEMA)
     assert {(r.eval_id, r.train_id) for r in overlap.sample_pairs(samples).collect()} == brute(rows, 0.7)
