@@ -24,7 +24,7 @@ RANGES = 4096
 SHARD_PASSAGES, SHARD_ROWS, SHARD_HELD = 250_000, 60_000, 500_000
 SHARDS_LEAST = 8
 #: Share of the records from which a word doesn't begin a passage if others can.
-FREQUENT = 1 / 8
+FREQUENT = 1 / 2
 #: Most words in one passage, and bits of the sketch of a record's words.
 LONGEST = 6
 BITS = 512
@@ -212,50 +212,56 @@ def _route(classes: DataFrame, similarity: float, shards: int | None) -> DataFra
     return classes.mapInPandas(run, "shard int, part int, train boolean, key binary, n int, bits binary, body string")
 
 
-def _matches(held: list[str], texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(place in ``held``, place in ``texts``, length) of passages found, by an automaton that scans all texts."""
+def _matches(held: list[str], texts: list[str], sizes: np.ndarray | None = None, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in ``held``, place in ``texts``, length) of passages found, by an automaton that scans all texts.
+
+    With ``sizes`` of those held and ``bounds`` (least, most) of each text, owners of a passage
+    whose size is out of the text's bounds are passed over.
+    """
     import ahocorasick
 
     numbers: dict[str, int] = {}
-    owners: list[list[int]] = []
-    lengths: list[int] = []
+    owners: list[int] = []
+    passage_of: list[int] = []
     for k, body in enumerate(held):
         for passage in body.split(_MARK):
-            number = numbers.setdefault(passage, len(owners))
-            if number == len(owners):
-                owners.append([])
-                lengths.append(len(passage))
-            owners[number].append(k)
-    if not owners:
-        return
+            owners.append(k)
+            passage_of.append(numbers.setdefault(passage, len(numbers)))
     automaton = ahocorasick.Automaton()
     for passage, number in numbers.items():
         automaton.add_word(passage, number)
     automaton.make_automaton()
-    sizes = np.array([len(o) for o in owners])
-    starts = np.cumsum(sizes) - sizes
-    flat = np.array([k for o in owners for k in o])
-    long = np.array(lengths)
-
-    def settle(rows: list[int], hits: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        number = np.array(hits)
-        each = sizes[number]
-        place = np.repeat(starts[number] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        return flat[place], np.repeat(np.array(rows), each), np.repeat(long[number], each)
+    long = np.array([len(p) for p in numbers])
+    owner, of = np.array(owners), np.array(passage_of)
+    size = np.zeros(len(owner), np.int64) if sizes is None else sizes[owner].astype(np.int64)
+    # Owners by passage and size, so that a text's bounds are a range.
+    order = np.lexsort((size, of))
+    owner, key = owner[order], (of.astype(np.int64) << 32 | size)[order]
+    least, most = bounds if bounds is not None else (np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64))
+    average = max(1, len(owner) // max(1, len(numbers)))
+
+    def settle(rows: list[int], hits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        row, number = np.array(rows), np.array(hits, np.int64)
+        first = np.searchsorted(key, number << 32 | least[row])
+        each = np.maximum(np.searchsorted(key, number << 32 | most[row], "right") - first, 0)
+        # A passage of very many records is unfolded in slices.
+        ends = np.cumsum(each)
+        for begin in range(0, int(ends[-1]), 2_000_000):
+            at = np.arange(begin, min(begin + 2_000_000, int(ends[-1])))
+            hit = np.searchsorted(ends, at, "right")
+            yield owner[first[hit] + at - (ends[hit] - each[hit])], row[hit], long[number[hit]]
 
     rows: list[int] = []
     hits: list[int] = []
-    pending = 0
     for k, body in enumerate(texts):
         for _, number in automaton.iter(body):
             rows.append(k)
             hits.append(number)
-            pending += len(owners[number])
-        if pending > 1_000_000:
-            yield settle(rows, hits)
-            rows, hits, pending = [], [], 0
+        if len(rows) * average > 500_000:
+            yield from settle(rows, hits)
+            rows, hits = [], []
     if hits:
-        yield settle(rows, hits)
+        yield from settle(rows, hits)
 
 
 def _scan(similarity: float):
@@ -266,13 +272,12 @@ def _scan(similarity: float):
         if len(held) and len(texts):
             held_bits, text_bits = (np.frombuffer(b"".join(x.bits), np.uint64).reshape(len(x), -1) for x in (held, texts))
             held_n, text_n = held.n.to_numpy(), texts.n.to_numpy()
-            for a, b, size in _matches(held.body.tolist(), texts.body.tolist()):
+            bounds = np.ceil(similarity * text_n - 1e-9).astype(np.int64), np.floor(text_n / similarity + 1e-9).astype(np.int64)
+            for a, b, size in _matches(held.body.tolist(), texts.body.tolist(), held_n, bounds):
                 total = held_n[a] + text_n[b]
-                # Common words that the similarity needs, and the most they can be, given the records' bits.
-                common = np.ceil(similarity * total / (1 + similarity) - 1e-9)
-                fits = np.minimum(held_n[a], text_n[b]) >= common
-                a, b, size, total, common = a[fits], b[fits], size[fits], total[fits], common[fits]
-                fits = np.bitwise_count(held_bits[a] ^ text_bits[b]).sum(axis=1) <= total - 2 * common
+                # The words in which records that similar may differ, and those in which they do, given their bits.
+                apart = total - 2 * np.ceil(similarity * total / (1 + similarity) - 1e-9)
+                fits = np.bitwise_count(held_bits[a] ^ text_bits[b]).sum(axis=1) <= apart
                 out.append(np.stack([a[fits], b[fits], size[fits] // 3]))
         a, b, covered = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pd.DataFrame({"eval_key": held["key"].to_numpy()[a], "train_key": texts["key"].to_numpy()[b], "covered": covered.astype("int32")})
