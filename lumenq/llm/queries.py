@@ -52,8 +52,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = _states(spark, sf_dir)
-    return states.select("rec", "rec_id", private.redactor(states)("state").alias("state"))
+    return private.redacted(_states(spark, sf_dir))
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
