@@ -61,7 +61,6 @@ _MAIL_BRACKETS = re.compile(r"(?<![\w.+-])\w[\w.+-]*\s?(?:\(at\)|\[at\]|\{at\})\
 _MAIL_WORDS = re.compile(r"(?<![\w.+-])\w[\w.+-]*\sat\s[\w-]+(?:\sdot\s[\w-]+)+", re.I)
 _MAILS = (("sign", _MAIL), ("brackets", _MAIL_BRACKETS), ("words", _MAIL_WORDS))
 
-_SPACE = re.compile(r"\s")
 #: A stretch that is long enough for a number of interest; patterns are tried there only.
 _NUMBER = re.compile(r"\d[\d\s().+/-]{7,}|[a-z]{2} ?\d{6} ?[a-d](?!\w)|\d{8,}|[a-z]{6}\d{2}[a-z]\d{2}")
 _GAP = re.compile(r"[\s/,()<>|;:-]{1,5}$")
@@ -132,6 +131,7 @@ _CUES = {kind: frozenset(words.split()) for kind, words in _CUES.items()}
 _AFTER_NAME = frozenset("writing wrote called calls said says told asked asks promised saw himself herself here lives was will has speaking from".split())
 _AGAINST = frozenset("order orders tracking invoice batch card ending ref reference rev version build chapter sku page room level parcel serial error model part item line ticket case shipment receipt product".split())
 _STRONG = frozenset(("name is", "signed by", "is called", "named"))
+_STRONG_ENDS = frozenset(x.split()[-1] for x in _STRONG)
 _KNOWN_TOP = re.compile(r"(?:com|org|net|edu|gov|io|co|info|example|test|invalid|localhost|[a-z]{2})$")
 _ESCAPE = re.compile(r"\\[nrt\"/\\]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -184,12 +184,13 @@ class _Text:
         self.low = _lower(self.shown)
         self.common = common
         self.uniform = self.shown.isupper() or self.shown.islower()
-        self.any = [m.span() for m in _ANY.finditer(self.low)]
-        self.starts = [b for b, _ in self.any]
-        self.ends = [e for _, e in self.any]
+        self.any: list[tuple[int, int]] | None = None
 
     def around(self, begin: int, end: int) -> tuple[list[str], list[str]]:
         """The five words before and the three after a span."""
+        if self.any is None:
+            self.any = [m.span() for m in _ANY.finditer(self.low)]
+            self.starts, self.ends = [b for b, _ in self.any], [e for _, e in self.any]
         k, j = bisect_right(self.ends, begin), bisect_left(self.starts, end)
         return [self.low[b:e] for b, e in self.any[max(0, k - 5) : k]], [self.low[b:e] for b, e in self.any[j : j + 3]]
 
@@ -236,9 +237,13 @@ def _names(t: _Text) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
     def joined(k: int) -> bool:
         """Whether word k follows the one before as a name's parts do."""
         gap = shown[spans[k - 1][1] : spans[k][0]]
+        if gap == " ":
+            return not initial[k - 1]
         return bool((_BLANK_DOT if initial[k - 1] else _BLANK).fullmatch(gap))
 
     for k in range(n):
+        if not (t.uniform or capital[k] or initial[k] or words[k] in _GIVEN_SET or (k and (words[k - 1] in _TITLES or words[k - 1] in _STRONG_ENDS))):
+            continue
         if words[k] in _TITLES or (words[k] in _CLOSED and not initial[k] and words[k] not in _GIVEN_SET) or (k and spans[k][0] and shown[spans[k][0] - 1] in "@_"):
             continue
         known = words[k] in _GIVEN_SET
@@ -265,14 +270,13 @@ def _names(t: _Text) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
                 yield "comma", spans[j][0], spans[k][1], [spans[k], spans[k - 1]]
 
 
-def candidates(text: str, common: frozenset[str]) -> list[tuple[str, int, int, str]]:
+def candidates(text: _Text) -> list[tuple[str, int, int, str]]:
     """(kind, begin, end, vector) of everything that may be personal; the vector is the kind of pattern and the votes.
 
     One sign a labeler: + for, - against, . abstains. Every kind has two labelers of its own or
     more, then those of the words before, after, against, and of the layout.
     """
-    t = _Text(text, common)
-    shown, low = t.shown, t.low
+    t, shown, low, common = text, text.shown, text.low, text.common
     out: list[tuple[str, int, int, str]] = []
 
     def add(kind: str, form: str, begin: int, end: int, extra: str) -> None:
@@ -282,12 +286,14 @@ def candidates(text: str, common: frozenset[str]) -> list[tuple[str, int, int, s
         against = "-" if not _AGAINST.isdisjoint(before[-3:]) and kind != "name" else "."
         out.append((kind, begin, end, f"{form}:{extra}{here}{next_}{against}"))
 
-    forms = {form for _, form in _triggers().iter(_SPACE.sub(" ", low))}
+    forms = {form for _, form in _triggers().iter(low.replace("\n", " ").replace("\t", " "))}
     for form, pattern in _MAILS:
         if form in forms:
             for m in pattern.finditer(shown):
                 add("email", form, *m.span(), "+" if _KNOWN_TOP.search(low[m.start() : m.end()]) else "-")
     for run in _NUMBER.finditer(low):
+        if sum(map(str.isdigit, run.group())) < 6:
+            continue
         for kind, patterns in (("phone", _PHONES), ("id_number", _IDS)):
             for form, pattern in patterns:
                 for m in pattern.finditer(shown, max(0, run.start() - 7), min(len(shown), run.end() + 6)):
@@ -314,7 +320,12 @@ def candidates(text: str, common: frozenset[str]) -> list[tuple[str, int, int, s
 
 
 def features(text: _Text, kind: str, begin: int, end: int, vector: str) -> list[int]:
-    """Hashed features of a candidate's text: its votes, words around it, shape, and letters of its parts."""
+    """Hashed features of a candidate's text: its votes, words around it, shape, and letters of its parts.
+
+    None where no labeler votes for the candidate: it is counted, but never accepted.
+    """
+    if "+" not in vector:
+        return []
     shown, low = text.shown, text.low
     form, votes = vector.split(":")
     before, after = text.around(begin, end)
@@ -397,7 +408,7 @@ class Classifier:
 
     def __call__(self, kind: str, x: list[int]) -> float:
         w = self.weights.get(kind)
-        return 0.0 if w is None else float(1 / (1 + np.exp(-np.clip(w[x].sum() + w[-1], -30, 30))))
+        return 0.0 if w is None or not len(x) else float(1 / (1 + np.exp(-np.clip(w[x].sum() + w[-1], -30, 30))))
 
 
 def resolve(rated: list[tuple[float, str, int, int]], least: float = 0.5) -> list[tuple[str, int, int]]:
@@ -428,8 +439,8 @@ def scan(texts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for b in batches:
             rows = []
             for rec, key, state in zip(b.rec, b.rec_id, b.state, strict=True):
-                if found := candidates(state, common):
-                    text = _Text(state, common)
+                text = _Text(state, common)
+                if found := candidates(text):
                     rows.append((rec, key, [(k, s, e, v, state[s:e], features(text, k, s, e, v)) for k, s, e, v in found]))
             yield pd.DataFrame(rows, columns=["rec", "rec_id", "found"])
 
@@ -446,14 +457,14 @@ def train(scanned: DataFrame, seed: int = 0) -> Classifier:
     counts = [(r["kind"], r["vector"], r["count"]) for r in each.groupBy("f.kind", "f.vector").count().collect()]
     chance = estimate(counts)
     total: dict[str, int] = {}
-    for kind, _, n in counts:
-        total[kind] = total.get(kind, 0) + n
+    for kind, vector, n in counts:
+        total[kind] = total.get(kind, 0) + n * ("+" in vector)
     u = F.pmod(F.xxhash64(F.lit(seed), "f.span", "f.vector"), F.lit(1 << 20))
     taken = F.lit(False)
     for kind, n in total.items():
-        taken = taken | ((F.col("f.kind") == kind) & (u < int((1 << 20) * min(1.0, SAMPLE / n))))
+        taken = taken | ((F.col("f.kind") == kind) & (u < int((1 << 20) * min(1.0, SAMPLE / max(1, n)))))
     # One hash may be that of many rows: SAMPLE different ones a kind at most, with their counts as they are.
-    drawn = each.where(taken).groupBy("f.kind", "f.vector", "f.span").agg(F.first("f.x").alias("x"), F.count(F.lit(1)).alias("n"))
+    drawn = each.where(taken & (F.size("f.x") > 0)).groupBy("f.kind", "f.vector", "f.span").agg(F.first("f.x").alias("x"), F.count(F.lit(1)).alias("n"))
     rows = drawn.select("kind", "vector", "x").collect()
     return Classifier.train([(r["kind"], r["x"], chance[r["kind"], r["vector"]]) for r in rows])
 
@@ -497,7 +508,7 @@ def redacted(texts: DataFrame, least: float = 0.5, vocabulary: str = VOCABULARY)
             for state in b.state:
                 if isinstance(state, str) and state:
                     text, at, parts = _Text(state, common), 0, []
-                    rated = [(model(k, features(text, k, s, e, v)), k, s, e) for k, s, e, v in candidates(state, common)]
+                    rated = [(model(k, features(text, k, s, e, v)), k, s, e) for k, s, e, v in candidates(text)]
                     for kind, begin, end in resolve(rated, least):
                         parts += [state[at:begin], PLACEHOLDERS[kind]]
                         at = end
