@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenq.session import materialise
+
 #: Copies differ by less than this many seconds in their time stamp.
 SAME_TIME_S = 0.001
 #: Cells of SAME_TIME_S that one ranking window holds at most.
@@ -22,7 +24,7 @@ def _messages(log: DataFrame) -> DataFrame:
         F.col("log_pos").alias("pos"),
         F.col("kind").alias("k"),
         F.col("id").alias("i"),
-        canonical_json(F.col("outcomes")).alias("o"),
+        F.unhex(F.md5(canonical_json(F.col("outcomes")))).alias("o"),
         ts.alias("t"),
         F.floor(ts / F.lit(SAME_TIME_S)).alias("cell"),
     )
@@ -40,13 +42,16 @@ def keepers(log: DataFrame) -> DataFrame:
     aggregated frequency: singletons pass, and only cells of repeated identifiers are ranked,
     in windows of at most ``CELLS_PER_WINDOW`` cells, so that an identifier that holds a third
     of the log is spread over as many windows as it has time ranges.
-    A null ``kind``, ``outcomes`` or ``ts`` equals another null one.
+    A null ``kind``, ``outcomes`` or ``ts`` equals another null one. 128 bits stand for the
+    canonical text of ``outcomes``.
     """
-    cells = (
+    # Written once: frequencies, singletons and repeats read the cells, not the log and its JSON again.
+    cells = materialise(
         _messages(log)
         .where(F.col("i").isNotNull())
         .groupBy("k", "i", "o", "cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"), F.min("t").alias("t0"), F.max("t").alias("t1")),
+        "cells",
     )
     frequency = cells.groupBy(F.col("k").alias("fk"), F.col("i").alias("fi")).agg(F.sum("n").alias("f"))
     rated = cells.join(frequency, F.col("k").eqNullSafe(F.col("fk")) & (F.col("i") == F.col("fi")))
