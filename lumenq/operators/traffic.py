@@ -52,8 +52,8 @@ def examples(log: DataFrame, family: str | None = None, invalid: str = "null") -
     (``invalid="error"``).
     """
     # JSON is parsed once an ask, before its questions are unfolded.
-    parsed_asks = latest_asks(log).select(F.col("id").alias("request_id"), "state", *(_json_map(c).alias(c) for c in ("questions", "answers", "served_by", "shadow")))
-    asks = parsed_asks.select("request_id", "state", "answers", "served_by", "shadow", F.explode("questions").alias("question", "text"))
+    parsed_asks = latest_asks(log).select(F.col("id").alias("request_id"), "log_pos", "state", *(_json_map(c).alias(c) for c in ("questions", "answers", "served_by", "shadow")))
+    asks = parsed_asks.select("request_id", "log_pos", "state", "answers", "served_by", "shadow", F.explode("questions").alias("question", "text"))
     named = asks.withColumn("q", parsed(F.col("text"))).where(F.col("q.error").isNull())
     if family is not None:
         named = named.where(F.col("q.family") == family)
@@ -68,7 +68,9 @@ def examples(log: DataFrame, family: str | None = None, invalid: str = "null") -
         "question",
         F.col("q.type").alias("type"),
         F.col("q.options").alias("options"),
+        F.col("q.instructions").alias("instructions"),
         "state",
+        "log_pos",
         teacher_distribution(F.col("q.type"), F.col("q.options"), of("answers")).alias("teacher"),
         F.when(index >= 0, index).alias("outcome"),
         F.coalesce(index == -1, F.lit(False)).alias("bad_outcome"),
@@ -122,8 +124,11 @@ def shadow_rows(rows: DataFrame, head: str, version: int) -> DataFrame:
 
 
 def families(rows: DataFrame) -> DataFrame:
-    """Per family: asks, known outcomes and the first question's name."""
-    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("asks"), F.count("outcome").alias("outcomes"), F.min_by("question", "request_id").alias("question"))
+    """Per family: asks, known outcomes, and name, type and wording of the question that came first in the log (``first_pos``)."""
+    place = F.struct("log_pos", "question")
+    first = F.min_by(F.struct("question", "type", "instructions"), place)
+    found = rows.groupBy("family").agg(F.count(F.lit(1)).alias("asks"), F.count("outcome").alias("outcomes"), first.alias("first"), F.min("log_pos").alias("first_pos"))
+    return found.select("family", "asks", "outcomes", "first.*", "first_pos")
 
 
 def valid_outcomes(reports: DataFrame, recent: DataFrame) -> DataFrame:

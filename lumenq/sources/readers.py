@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,14 +78,22 @@ def read_domains(spark: SparkSession, data_path: str, domains_path: str, split:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log's lines with ``log_pos`` in the order of files and lines; no file gives an empty log.
+    """The log's lines with ``log_pos``, their number in the order of appends, files and lines; no file gives an empty log.
 
-    Fields that are JSON stay JSON text.
+    The lines of each file block are counted, blocks are put in order (one row a block, so a
+    small sort), and a line's number is that of its block's first line and its place in the
+    block. However files are packed into tasks, a later append has larger numbers. Fields that
+    are JSON stay JSON text.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("log_pos", T.LongType()), *LOG.fields]))
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("log_pos", F.monotonically_increasing_id())
-    return lines.select("log_pos", F.from_json("value", LOG).alias("r")).select("log_pos", "r.*")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"))
+    blocks = placed.groupBy("file", "begin").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("file").alias("f__"), F.col("begin").alias("b__"), "first", before.alias("before"))
+    numbered = placed.join(blocks, (F.col("file") == F.col("f__")) & (F.col("begin") == F.col("b__"))).where(F.trim("value") != "")
+    return numbered.select((F.col("before") + F.col("at") - F.col("first")).alias("log_pos"), F.from_json("value", LOG).alias("r")).select("log_pos", "r.*")
 
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:

@@ -29,7 +29,8 @@ def outcome_lines(reports: DataFrame) -> DataFrame:
 
 
 def append_log(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").text(path)
+    """One more append: a folder of its own, named so that a later one comes after it."""
+    lines.write.mode("append").text(f"{path}/append-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
 
 
 def new_ask(state: str, questions: dict, answers: dict, model: str, caller: str | None = None) -> dict:
