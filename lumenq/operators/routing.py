@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenq.operators.ranks import spread_row_number
+
+#: Rows of a key that one window of trailing means holds at most, but for the lead of the block before.
+BLOCK_STEPS = 65_536
+
 from lumenq.functions import dist
 
 TEACHER = "teacher"
@@ -138,15 +143,23 @@ def callers(requests: DataFrame, keys: DataFrame) -> DataFrame:
     return requests.join(keys.select(F.col("key").alias("k__")).distinct(), F.col("key") == F.col("k__"), "left_semi")
 
 
-def null_priors(questions: DataFrame, scorer) -> DataFrame:
+def null_priors(questions: DataFrame, scorer, key: str = "family") -> DataFrame:
     """The prior of each distinct question, scored once over an empty state and joined where it is needed."""
-    return scorer(questions.dropDuplicates(["family"]))
+    return scorer(questions.dropDuplicates([key]))
 
 
 def trailing_mean(rows: DataFrame, by: list[str], order: str, value: str, steps: int = 20) -> DataFrame:
-    """Mean of the last ``steps`` values."""
-    frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-(steps - 1), 0)
-    return rows.withColumn("trailing", F.avg(value).over(frame)).withColumn("step", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    """Mean of the last ``steps`` values by ``order`` (an integer), and ``step``, the row's number in its key.
+
+    A key is cut into blocks of BLOCK_STEPS rows, each with the last rows of the block before, so
+    that no task sorts a whole key.
+    """
+    ranked = spread_row_number(rows, by, F.floor(F.col(order) / BLOCK_STEPS), [F.col(order)], "step")
+    place = F.col("step") - 1
+    own = ranked.withColumn("block__", F.floor(place / BLOCK_STEPS)).withColumn("lead__", F.lit(False))
+    lead = ranked.where(place % BLOCK_STEPS > BLOCK_STEPS - steps).withColumn("block__", F.floor(place / BLOCK_STEPS) + 1).withColumn("lead__", F.lit(True))
+    frame = Window.partitionBy(*by, "block__").orderBy("step").rowsBetween(-(steps - 1), 0)
+    return own.unionByName(lead).withColumn("trailing", F.avg(value).over(frame)).where("not lead__").drop("block__", "lead__")
 
 
 def diverged(rows: DataFrame, by: list[str], order: str, value: str, limit: float, warm_up: int, steps: int = 20) -> DataFrame:

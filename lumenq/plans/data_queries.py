@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lumenq.functions import dist, text
 from lumenq.operators import retrieval, routing, sampling, traffic, training
 from lumenq.operators.ranks import hash_unit_sql
-from lumenq.plans.base import CONF, FACTS, clean, clean_sql, facts
+from lumenq.plans import decide
+from lumenq.plans.base import CONF, FACTS, QUESTIONS, clean, clean_sql, facts, family_questions
 from lumenq.plans.metric_queries import rounded
 from lumenq.session import load
 
@@ -194,8 +195,8 @@ def gen7(spark, sf):
 
 def _mixture(spark, sf):
     listed = load(spark, sf, "sources").orderBy("source_name").collect()
-    sources = [{"name": r.source_name, "shape": r.shape, "labels": r.label_list, "wordings": ["How is it?"], "about": _NOUL, "negated": ["Is it not?"], "collapse": _STARS if r.source_name == "shop_stars" else None} for r in listed]
-    return training.mixture(_usable(spark, sf).select("id", "source", "state", "label", "soft"), sources)
+    sources = [{"name": r.source_name, "shape": r.shape, "labels": r.label_list, "per_class": r.per_class, "wordings": ["How is it?"], "about": _NOUL, "negated": ["Is it not?"], "collapse": _STARS if r.source_name == "shop_stars" else None} for r in listed]
+    return training.mixture(_usable(spark, sf).select("id", "source", "state", "label", "soft"), sources, scale=0.25)
 
 
 def gen8(spark, sf):
@@ -293,15 +294,20 @@ def str5(spark, sf, most: int = routing.RECENT):
 
 
 def str6(spark, sf):
-    """Mean distribution of each family as its prior, computed once, joined where rows are debiased."""
-    rows = traffic.latest_asks(load(spark, sf, "traffic_log")).select("id")
+    """The prior of each family's question over an empty state, scored once, joined where teacher rows are debiased."""
     ex = load(spark, sf, "examples").select("example_id", F.lower(text.strip(F.col("family"))).alias("family"), "teacher")
-    prior = ex.select("family", F.posexplode("teacher").alias("k", "x")).groupBy("family", "k").agg(F.avg("x").alias("m")).groupBy(F.col("family").alias("pf")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("prior"))
-    del rows
+    questions = decide.plan(family_questions(spark, sf), 1)
+    empty = lambda q: decide.combined(decide.score(q.withColumn("prefix", text.prefix(F.lit(text.NULL_STATE))), _prior_scorer), "prior")
+    prior = routing.null_priors(questions, empty).select(F.col("family").alias("pf"), "prior")
     got = ex.join(prior, F.col("family") == F.col("pf")).where(F.size("teacher") == F.size("prior"))
     return got.select("example_id", F.posexplode(dist.debias(F.col("teacher"), F.col("prior"))).alias("k", "v")).select("example_id", "k", F.round("v", 6).alias("v"))
 
 
+def _prior_scorer(prefix: str, branches: list[str], shown: list[list[str]]) -> list[list[float]]:
+    """A double of a model that likes early and long options: a logit from place and length."""
+    return [[len(o) / 10 - k / 5 for k, o in enumerate(options)] for options in shown]
+
+
 def str7(spark, sf):
     rows = load(spark, sf, "traffic_log").where(F.col("caller").isNotNull())
     keys = rows.groupBy("caller").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select(F.col("caller").alias("key"))
@@ -336,9 +342,10 @@ def str11(spark, sf):
 
 
 def udf9(spark, sf):
-    """Largest difference per task between two ways to the same distribution (identical up to rounding)."""
-    rows = facts(spark, sf).withColumn("q", dist.softmax(F.transform("p", lambda x: F.ln(x))))
-    return rows.groupBy("task").agg((F.max(F.array_max(F.zip_with("p", "q", lambda a, b: F.abs(a - b)))) < 1e-5).alias("equal"))
+    """Two scorers side by side over every family's question: the largest difference of a probability, and the verdict."""
+    q = family_questions(spark, sf).withColumn("prefix", text.prefix(F.lit(text.NULL_STATE)))
+    got = decide.verify(q, _prior_scorer, decide.biased_scorer([0.3, 0.2, 0.1]), 0.1)
+    return got.select("family", F.round("apart", 6).alias("apart"), "equal")
 
 
 def ext_volume(spark, sf):
@@ -371,6 +378,7 @@ sc AS (SELECT vec_id, e.label, list(list_sum(list_transform(list_zip(embedding,
 _SOFT50 = "list_transform(list_transform(s, lambda x: exp(50 * (x - list_max(s)))), lambda x: x / list_sum(list_transform(s, lambda h: exp(50 * (h - list_max(s))))))"
 _BEST = "list_sort(list_transform(list_sort(list_transform(range(1, len(s) + 1), lambda i: {'s': -s[i], 'i': i - 1}))[1:K], lambda t: t.i))"
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_PRIOR = "list_transform(options, lambda o, i: exp(length(o) / 10 - (i - 1) / 5))"
 _ROUTED = rf"""e AS (SELECT example_id, lower({_STRIP.format("family")}) AS family, coalesce(CAST(json_extract(shadow, '$.probabilities') AS DOUBLE[]), teacher) AS p FROM examples),
 r AS (SELECT example_id, CASE WHEN qtype = 'choice' AND list_reverse_sort(p)[1] - list_reverse_sort(p)[2] >= 0.2 THEN 'head:' || e.family ELSE 'teacher' END AS served_by, CASE WHEN qtype <> 'choice' THEN 'shadow:' || e.family END AS shadow FROM e LEFT JOIN questions q ON q.family = e.family)"""
 
@@ -407,6 +415,12 @@ w AS (SELECT *, list_transform(options, lambda o: exp(-1.5 * abs(list_position(l
 SELECT id, array_to_string(options, '|') AS shown, CAST(unnest(range(len(e))) AS INT) AS k, round(unnest(list_transform(e, lambda x: x / list_sum(e))), 6) AS t FROM w""",
     "GEN7_build": f"""WITH {USABLE}, a AS (SELECT CASE WHEN {_H("0", "id", "14")} < 0.3 THEN 'noul' ELSE 'choice' END AS type, {_H("0", "id", "13")} < 0.1 AS n FROM us WHERE source = 'desk_routes')
 SELECT type, false AS is_null, count(*) AS rows FROM a GROUP BY type UNION ALL SELECT type, true, count(*) FROM a WHERE n GROUP BY type""",
+    "GEN8_mixture": f"""WITH {USABLE}, m AS (SELECT id, us.source, us.shape, label, soft, greatest(1, round_even(per_class * 0.25, 0)) AS most FROM us JOIN sources ON source_name = us.source),
+b AS (SELECT *, label AS cell FROM m WHERE shape <> 'soft_noul' UNION ALL SELECT *, least(floor(soft * 10), 9)::INT::VARCHAR FROM m WHERE shape = 'soft_noul' AND soft IS NOT NULL
+  UNION ALL SELECT *, CASE label WHEN '3 stars' THEN 'mixed' WHEN '4 stars' THEN 'satisfied' WHEN '5 stars' THEN 'satisfied' ELSE 'dissatisfied' END FROM m WHERE source = 'shop_stars'),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY {_H("0", "id")}, id) AS r FROM b),
+t AS (SELECT source, CASE WHEN shape = 'choice' AND {_H("0", "id", "15")} >= 0.3 THEN 'choice' WHEN shape = 'score' THEN 'score' ELSE 'noul' END AS type, {_H("0", "id", "13")} < 0.1 AS n FROM r WHERE r <= most)
+SELECT source, type, false AS is_null, count(*) AS rows FROM t GROUP BY ALL UNION ALL SELECT source, type, true, count(*) FROM t WHERE n GROUP BY ALL""",
     "GEN10_collate": r"WITH w AS (SELECT sample_id, list_transform(regexp_extract_all(state, '( ?\S+|\s)', 1), lambda w: length(w)) AS ids FROM samples WHERE length(state) > 0) SELECT sample_id, list_sum(ids)::BIGINT AS id_sum, len(ids) AS used, len(ids) - 1 AS last FROM w",
     "AGG19_centroids": f"WITH {_CENT} SELECT label::BIGINT AS label, CAST(unnest(range(64)) AS INT) AS k, round(unnest(c), 6) AS v FROM cent",
     "VEC2_rank": f"WITH {_CENT} SELECT vec_id, CAST(unnest(range(len(s))) AS INT) AS k, round(unnest(s), 6) AS v FROM sc",
@@ -419,15 +433,16 @@ SELECT type, false AS is_null, count(*) AS rows FROM a GROUP BY type UNION ALL S
     "STR4_queue_cap": """WITH m AS (SELECT t, sum(d) AS d FROM (SELECT epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT epoch_us(ts) + 1800000000, -1 FROM events) GROUP BY t),
 r AS (SELECT sum(d) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS f FROM m) SELECT count(*) AS moments, max(f) AS most FROM r WHERE f > 8""",
     "STR5_recent": "SELECT log_pos FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL ORDER BY log_pos DESC LIMIT 100000",
-    "STR6_null_prior": rf"""WITH e AS (SELECT example_id, lower({_STRIP.format("family")}) AS family, teacher FROM examples), u AS (SELECT family, unnest(range(1, len(teacher) + 1)) AS k, unnest(teacher) AS x FROM e),
-pr AS (SELECT family, list(m ORDER BY k) AS prior FROM (SELECT family, k, avg(x) AS m FROM u GROUP BY family, k) GROUP BY family),
-d AS (SELECT example_id, list_transform(list_zip(teacher, prior), lambda s: s[1] / greatest(s[2], 1e-12)) AS v FROM e JOIN pr USING (family) WHERE len(teacher) = len(prior))
+    "STR6_null_prior": rf"""WITH {QUESTIONS}, e AS (SELECT example_id, lower({_STRIP.format("family")}) AS family, teacher FROM examples), pr AS (SELECT family, {_PRIOR} AS prior FROM q),
+d AS (SELECT example_id, list_transform(list_zip(teacher, list_transform(prior, lambda x: x / list_sum(prior))), lambda s: s[1] / greatest(s[2], 1e-12)) AS v FROM e JOIN pr USING (family) WHERE len(teacher) = len(prior))
 SELECT example_id, CAST(unnest(range(len(v))) AS INT) AS k, round(unnest(list_transform(v, lambda x: x / list_sum(v))), 6) AS v FROM d""",
     "STR7_callers": "SELECT kind, count(*) AS rows FROM traffic_log WHERE caller IN (SELECT caller FROM traffic_log WHERE caller IS NOT NULL GROUP BY caller HAVING count(*) >= 20) GROUP BY kind",
     "STR8_route": f"WITH {_ROUTED} SELECT example_id, served_by, shadow FROM r",
     "STR10_hit_rate": "SELECT caller, round(coalesce(sum(coalesce(length(state), 0)) / nullif(sum(coalesce(length(state), 0) + length(questions)), 0), 0), 6) AS hit_rate FROM traffic_log WHERE kind = 'ask' GROUP BY caller",
     "STR11_divergence": """WITH t AS (SELECT event_type, avg(value) OVER w AS m, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS step FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT event_type, min(step) AS stopped_at FROM t WHERE step > 20 AND m > 20 GROUP BY event_type""",
-    "UDF9_verify": f"WITH {CONF} SELECT task, true AS equal FROM c GROUP BY task",
+    "UDF9_verify": f"""WITH {QUESTIONS}, b AS (SELECT family, {_PRIOR} AS x, list_transform(options, lambda o, i: exp(greatest(0.4 - i / 10, 0))) AS y FROM q),
+d AS (SELECT family, list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i] / list_sum(x) - y[i] / list_sum(y)))) AS apart FROM b)
+SELECT family, round(apart, 6) AS apart, apart <= 0.1 AS equal FROM d""",
     "EXT_hourly_volume": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

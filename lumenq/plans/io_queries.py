@@ -13,7 +13,7 @@ from lumenq.plans import decide
 from lumenq.plans.base import FACTS, QUESTIONS, confidences, facts, family_questions
 from lumenq.plans.metric_queries import rounded
 from lumenq.plans.traffic_queries import _EX
-from lumenq.session import load, shared_dir
+from lumenq.session import load, materialise, shared_dir
 from lumenq.sources import readers, sinks
 from lumenq.streaming import stateful
 
@@ -170,7 +170,7 @@ def ent1(spark, sf):
     ex = load(spark, sf, "examples").where(F.col("state").isNotNull()).select(F.col("example_id").alias("id"), F.lower(text.strip(F.col("family"))).alias("family"), "state")
     questions = family_questions(spark, sf).withColumnRenamed("qtype", "type").drop("qname")
     got = decide.decide(ex, questions, decide.keyword_scorer, decide.Calibration(permutations=2, contextual=True, temperature=1.5))
-    return rounded(got.select("id", "family", "choice", "confidence", "score"), 5)
+    return rounded(got.select("id", "family", "choice", "confidence", "score", "input_tokens"), 5)
 
 
 def str2(spark, sf):
@@ -201,14 +201,39 @@ def str2_hours(spark, sf):
 
 
 def ent8(spark, sf):
-    """Evaluation harness: every configuration of every task, raw and cross-fitted."""
-    from lumenq.operators import fit
+    """Evaluation harness: every configuration of every task, raw and cross-fitted, with what tells noise from miscalibration.
+
+    Per cell: scores, noise floor of the ECE, calibration line, interval of the temperature, and the
+    three-way verdict of the cross-fitted distributions against the raw ones on the same rows.
+    """
+    from lumenq.operators import fit, stats
+
+    rows = facts(spark, sf).withColumn("cell", F.concat_ws("|", "task", "config"))
+    crossed = materialise(fit.cross_fit(rows, "cell").select("id", "cell", "p", "y", "n", "scaled"), "crossed")
+    named = lambda frame, *columns: frame.select(F.col("cell").alias("c__"), *columns)
+    conf = confidences(rows)
+    gate = stats.intervals(stats.differences(crossed.withColumn("student", F.col("scaled")).withColumn("teacher", F.col("p"))), "cell")
+    parts = [
+        named(metrics.scores(crossed.withColumn("p", F.col("scaled")), ["cell"]), F.col("brier").alias("brier_scaled")),
+        named(metrics.ece_equal_mass(conf, ["cell"]), "ece_mass"),
+        named(fit.ece_floor(conf, ["cell"]), "ece_floor"),
+        named(fit.calibration_line(conf, "cell"), "intercept", "slope"),
+        named(fit.temperature_interval(rows, "cell"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi")),
+        named(gate, stats.verdict(*map(F.col, ("brier_lo", "brier_hi", "acc_lo", "acc_hi"))).alias("verdict")),
+    ]
+    out = metrics.scores(rows, ["cell"]).select("cell", "n", "accuracy", "brier")
+    for part in parts:
+        out = out.join(part, F.col("cell") == F.col("c__")).drop("c__")
+    return rounded(out, 4)
+
+
+def ent8_pooled(spark, sf):
+    """Cross-fitted against raw distributions, pooled over the tasks of each configuration, with splits as runs."""
+    from lumenq.operators import fit, stats
 
     rows = facts(spark, sf).withColumn("cell", F.concat_ws("|", "task", "config"))
-    crossed = fit.cross_fit(rows, "cell")
-    raw = metrics.scores(rows, ["cell"]).select("cell", "n", "accuracy", "brier")
-    after = metrics.scores(crossed.withColumn("p", F.col("scaled")), ["cell"]).select(F.col("cell").alias("c2"), F.col("brier").alias("brier_scaled"))
-    return rounded(raw.join(after, F.col("cell") == F.col("c2")).drop("c2"), 4)
+    crossed = stats.differences(fit.cross_fit(rows, "cell").withColumn("student", F.col("scaled")).withColumn("teacher", F.col("p")))
+    return rounded(stats.pooled(materialise(crossed.select("id", "config", "split", "task", "db"), "pooled"), "config", "task", seed="split"))
 
 
 def prj18(spark, sf):
@@ -229,7 +254,7 @@ def top7(spark, sf, most: int = routing.RECENT):
 QUERIES = {
     "SRC1_csv": src1, "SRC3_jsonl_gz": src3, "SRC4_parquet_columns": src4, "SRC7_dispatch": src7, "SRC9_log": src9, "SRC10_prediction_files": src10, "SRC12_distributions": snk5, "SNK6_wire": snk6,
     "WIN4_equal_mass": win4, "JON5_pairing": jon5, "JON9_recent_lookup": jon9, "VEC7_pooling": vec7, "VEC6_rerank": vec6, "VEC9_head": vec9, "VEC10_typed_answer": vec10, "FIT21_head_approach": fit21, "TOP4_best": top4, "FIT18_soft_head": fit18,
-    "ENT1_decide": ent1, "ENT8_rescore": ent8, "STR2_stream_join": str2, "STR2_stream_hours": str2_hours, "PRJ18_answer_distribution": prj18, "TOP7_recent_ids": top7,
+    "ENT1_decide": ent1, "ENT8_rescore": ent8, "ENT8_pooled_gate": ent8_pooled, "STR2_stream_join": str2, "STR2_stream_hours": str2_hours, "PRJ18_answer_distribution": prj18, "TOP7_recent_ids": top7,
 }
 
 SQL = {

@@ -58,7 +58,8 @@ def prj6(spark, sf):
 
 def prj8(spark, sf):
     rows = load(spark, sf, "examples").where(F.col("state").isNotNull())
-    return rows.select("example_id", F.md5(text.prefix(F.col("state"))).alias("rendered"), F.length(text.prefix(F.col("state"))).cast("long").alias("chars"))
+    shown = rows.select("example_id", text.prefix(model.shown_state(F.col("state"))).alias("prefix"))
+    return shown.select("example_id", F.md5("prefix").alias("rendered"), F.length("prefix").cast("long").alias("chars"))
 
 
 def prj9(spark, sf):
@@ -94,7 +95,7 @@ def prj12(spark, sf):
 
 
 def agg12(spark, sf):
-    return traffic.families(_examples(spark, sf)).select("asks", "outcomes", "question")
+    return traffic.families(_examples(spark, sf)).drop("family")
 
 
 def win6(spark, sf):
@@ -146,7 +147,7 @@ def tok1(spark, sf):
 
 def _prompts(spark, sf):
     """Each example with its rendered prefix and its family's question."""
-    ex = load(spark, sf, "examples").where(F.col("state").isNotNull()).select("example_id", F.lower(text.strip(F.col("family"))).alias("f__"), text.prefix(F.col("state")).alias("prefix"))
+    ex = load(spark, sf, "examples").where(F.col("state").isNotNull()).select("example_id", F.lower(text.strip(F.col("family"))).alias("f__"), text.prefix(model.shown_state(F.col("state"))).alias("prefix"))
     return ex.join(F.broadcast(family_questions(spark, sf)), F.col("f__") == F.col("family")).withColumn("lines", text.option_lines(F.col("options"), F.col("descriptions")))
 
 
@@ -172,7 +173,7 @@ def usage(spark, sf):
     branches = q.select(F.col("family").alias("f__"), F.size(text.words(branch)).alias("branch"))
     rows = load(spark, sf, "examples").where(F.col("state").isNotNull()).select("request_id", "state", F.lower(text.strip(F.col("family"))).alias("family")).where(F.col("request_id").isNotNull())
     joined = rows.join(branches, F.col("family") == F.col("f__"))
-    return joined.groupBy("request_id").agg((F.max(F.size(text.words(text.prefix(F.col("state"))))) + F.sum("branch")).alias("input_tokens"))
+    return joined.groupBy("request_id").agg((F.max(F.size(text.words(text.prefix(model.shown_state(F.col("state")))))) + F.sum("branch")).alias("input_tokens"))
 
 
 QUERIES = {
@@ -204,13 +205,24 @@ QUERIES = {
 
 _LINES = "list_transform(list_zip(options, descriptions), lambda s: CASE WHEN s[2] IS NULL OR s[2] = '' THEN s[1] ELSE s[1] || ': ' || s[2] END)"
 _UNNEST = "CAST(unnest(range(len({v}))) AS INT) AS k, unnest({v})"
-_PREFIX = "'" + text.PREFIX + "' || state || '" + text.PREFIX_END + "'"
+# A JSON object as text: keys in order, two blanks a level, no character above ASCII.
+_LEVEL = "'{{' || array_to_string(list_transform(list_sort(json_keys({0})), lambda {1}: to_json({1}) || ':' || {2}), ',') || '}}'"
+_VALUE = "json_extract({0}, '$.\"' || {1} || '\"')"
+_INNER = _VALUE.format("state", "k")
+_DEEPER = f"CASE WHEN json_type({_INNER}) = 'OBJECT' THEN {_LEVEL.format(_INNER, 'm', _VALUE.format(_INNER, 'm'))} ELSE {_INNER} END"
+_SORTED = f"CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' THEN json_pretty({_LEVEL.format('state', 'k', _DEEPER)}) END"
+# Each level is indented by two blanks instead of four, the innermost first.
+_NARROW = r"regexp_replace(regexp_replace(regexp_replace({0}, '\n {{12}}(\S)', chr(10) || '@@@@@@\1', 'g'), '\n {{8}}(\S)', chr(10) || '@@@@\1', 'g'), '\n {{4}}(\S)', chr(10) || '@@\1', 'g')"
+_NARROW = r"regexp_replace(regexp_replace(regexp_replace(" + _NARROW + r", '\n@@@@@@', chr(10) || '      ', 'g'), '\n@@@@', chr(10) || '    ', 'g'), '\n@@', chr(10) || '  ', 'g')"
+_ASCII = "array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) > 127 THEN chr(92) || 'u' || lpad(printf('%x', unicode(c)), 4, '0') ELSE c END), '')"
+_BODY = f"coalesce({_ASCII.format(_NARROW.format(_SORTED))}, state)"
+_PREFIX = f"'{text.PREFIX}' || {_BODY} || '{text.PREFIX_END}'"
 _BRANCH = f"'{text.QUESTION}' || instructions || chr(10) || array_to_string(list_transform(range(1, len(options) + 1), lambda i: chr((64 + i)::INT) || ') ' || {_LINES}[i]), chr(10)) || '{text.QUESTION_END}'"
 _SEQUENCE = f"'{text.QUESTION}' || instructions || '{text.SEQUENCE_LINE}' || array_to_string(list_transform({_LINES}, lambda l: '- ' || l), chr(10)) || '{text.QUESTION_END}'"
 _PROMPTS = rf"""{QUESTIONS}, pr AS (SELECT example_id, {_PREFIX} AS prefix, {_BRANCH} AS letter, {_SEQUENCE} AS sequence, options FROM examples e JOIN q ON q.family = lower(regexp_replace(e.family, '^\s+|\s+$', '', 'g')) WHERE state IS NOT NULL)"""
 _WORDS = r"regexp_extract_all({0}, '( ?\S+|\s)', 1)"
-_EX = r"""a AS (SELECT id, questions, answers, served_by FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY log_pos DESC) AS r FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL) WHERE r = 1),
-qs AS (SELECT id AS request_id, unnest(json_keys(questions)) AS question, questions, answers, served_by FROM a),
+_EX = r"""a AS (SELECT id, log_pos, questions, answers, served_by FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY log_pos DESC) AS r FROM traffic_log WHERE kind = 'ask' AND id IS NOT NULL) WHERE r = 1),
+qs AS (SELECT id AS request_id, log_pos, unnest(json_keys(questions)) AS question, questions, answers, served_by FROM a),
 qd AS (SELECT *, json_extract(questions, '$."' || question || '"') AS d, json_extract(answers, '$."' || question || '"') AS ans FROM qs),
 qo AS (SELECT *, d->>'type' AS type, CASE WHEN d->>'type' = 'noul' THEN ['yes', 'no'] WHEN json_type(d->'criteria') = 'ARRAY' THEN CAST(d->'criteria' AS VARCHAR[]) ELSE json_keys(d->'criteria') END AS options FROM qd),
 ok AS (SELECT id AS oid, unnest(json_keys(outcomes)) AS name, outcomes, log_pos FROM traffic_log WHERE kind = 'outcome' AND id IS NOT NULL),
@@ -221,7 +233,11 @@ ex AS (SELECT *, CASE WHEN idx >= 0 THEN idx END AS outcome, coalesce(idx = -1,
   CASE WHEN type = 'noul' THEN [CAST(ans->>'noul' AS DOUBLE), 1 - CAST(ans->>'noul' AS DOUBLE)] ELSE list_transform(options, lambda o: CAST(json_extract(ans, '$.probabilities."' || o || '"') AS DOUBLE)) END AS teacher FROM x)"""
 _EXPORTED = r"""e AS (SELECT example_id, request_id, lower(regexp_replace(family, '^\s+|\s+$', '', 'g')) AS family, teacher, outcome, source, shadow, (('0x' || substr(sha256(request_id), 1, 8))::UBIGINT / 4294967296.0) AS u FROM examples)"""
 
+_FIRST = "arg_min({0}, {{'p': log_pos, 'q': question}})"
+
 SQL = {
+    "AGG12_families": f"""WITH {_EX} SELECT count(*) AS asks, count(outcome) AS outcomes, {_FIRST.format("question")} AS question, {_FIRST.format("type")} AS type, {_FIRST.format("d->>'instructions'")} AS instructions, min(log_pos) AS first_pos
+FROM ex GROUP BY type, d->>'instructions', CASE WHEN json_type(d->'criteria') = 'NULL' THEN NULL ELSE json(d->'criteria')::VARCHAR END""",
     "PRJ1_parse": f"WITH {QUESTIONS} SELECT family, qtype, len(options) AS options, true AS valid FROM q",
     "PRJ3_family_key": "SELECT family, family AS computed FROM questions",
     "PRJ4_declared_options": f"WITH {QUESTIONS} SELECT family, {_UNNEST.format(v='options')} AS option FROM q",
