@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenq.functions import dist
+from lumenq.session import materialise
 
 #: Options (vectors) up to which they travel with the plan; a question's options are at most 255, a catalogue may have more.
 BROADCAST_OPTIONS = 4_096
@@ -27,24 +28,38 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
 def rank(queries: DataFrame, options: DataFrame, key: str, vector: str = "embedding", broadcast_options: int = BROADCAST_OPTIONS) -> DataFrame:
     """``scores`` of every query over the options (``idx``, ``option``, ``centroid``), in option order.
 
-    Few options become one array column of the plan, so nothing is crossed or shuffled and the
-    products of a batch are one matrix product. More options are taken block by block, each
-    block the same way.
+    Options become one array column of the plan, so nothing is crossed or shuffled and the
+    products of a batch are one matrix product; they are the labels of a question, and more than
+    ``broadcast_options`` are an error. ``best`` ranks over any number.
     """
-    listed = options.select("idx", "option", "centroid").orderBy("idx")
-    many = options.count()
-    if many > broadcast_options:
-        blocks = [listed.where((F.col("idx") >= b) & (F.col("idx") < b + broadcast_options)) for b in range(0, many, broadcast_options)]
-        out = queries
-        for k, block in enumerate(blocks):
-            out = _scored(out, block, vector, f"scores{k}")
-        names = [f"scores{k}" for k in range(len(blocks))]
-        return out.withColumn("scores", F.concat(*names)).drop(*names)
+    listed = options.select("idx", "option", "centroid").orderBy("idx").limit(broadcast_options + 1).collect()
+    if len(listed) > broadcast_options:
+        raise ValueError(f"more than {broadcast_options} options; take the best of them by blocks")
     return _scored(queries, listed, vector, "scores")
 
 
-def _scored(queries: DataFrame, listed: DataFrame, vector: str, name: str) -> DataFrame:
-    table = np.array([r.centroid for r in listed.collect()], float)
+def best(queries: DataFrame, options: DataFrame, k: int, vector: str = "embedding", broadcast_options: int = BROADCAST_OPTIONS) -> DataFrame:
+    """``best`` of every query: its ``k`` options of the largest scores (``score``, ``idx``), best first, ties by place.
+
+    Options are taken in blocks of ``broadcast_options`` by ``idx``; a query keeps ``k`` of what it had
+    and a block's, so its row stays small whatever the number of options.
+    """
+    held = materialise(options.select("idx", "centroid"), "options")
+    ends = held.agg(F.min("idx"), F.max("idx")).first()
+    out = queries.withColumn("best", F.array().cast("array<struct<score:double,idx:bigint>>"))
+    for begin in range(ends[0], ends[1] + 1, broadcast_options) if ends[0] is not None else ():
+        listed = held.where((F.col("idx") >= begin) & (F.col("idx") < begin + broadcast_options)).orderBy("idx").collect()
+        if listed:
+            places = F.array(*(F.lit(int(r.idx)) for r in listed))
+            found = F.transform("scores__", lambda s, i: F.struct(s.alias("score"), F.get(places, i).cast("bigint").alias("idx")))
+            both = F.array_sort(F.transform(F.concat("best", found), lambda x: F.struct((-x["score"]).alias("m"), x["idx"].alias("i"))))
+            top = F.transform(F.slice(both, 1, k), lambda x: F.struct((-x["m"]).alias("score"), x["i"].alias("idx")))
+            out = _scored(out, listed, vector, "scores__").withColumn("best", top).drop("scores__")
+    return out
+
+
+def _scored(queries: DataFrame, listed: list, vector: str, name: str) -> DataFrame:
+    table = np.array([r.centroid for r in listed], float)
 
     def product(vectors: pd.Series) -> pd.Series:
         if not len(vectors):

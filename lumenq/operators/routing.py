@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenq.functions import dist
 from lumenq.operators.ranks import spread_row_number
 
+TEACHER = "teacher"
 #: Rows of a key that one window of trailing means holds at most, but for the lead of the block before.
 BLOCK_STEPS = 65_536
-
-from lumenq.functions import dist
-
-TEACHER = "teacher"
 #: Seconds of the sliding window of the rate limit.
 WINDOW_S = 60.0
 #: Recent requests that outcomes are checked against.

@@ -228,6 +228,13 @@ def _ranked(spark, sf):
     return retrieval.rank(vectors, _options(vectors), "vec_id")
 
 
+def vec2_best(spark, sf):
+    """The three best labels of every vector, over blocks of four options."""
+    vectors = load(spark, sf, "embeddings").where(F.col("label").isNotNull())
+    got = retrieval.best(vectors, _options(vectors), 3, broadcast_options=4)
+    return got.select("vec_id", F.posexplode("best").alias("k", "b")).select("vec_id", "k", F.col("b.idx").alias("place"), F.round("b.score", 6).alias("score"))
+
+
 def agg19(spark, sf):
     got = retrieval.centroids(_vectors(spark, sf)).select(F.col("label").cast("long").alias("label"), F.posexplode("centroid").alias("k", "v"))
     return got.select("label", "k", F.round("v", 6).alias("v"))
@@ -359,7 +366,7 @@ QUERIES = {
     "FLT4_token_cap": flt4, "FLT5_pool_minus_split": flt5, "PRJ7_state_body": prj7, "PRJ14_label_mappings": prj14, "PRJ15_levels": prj15, "PRJ16_cut_text": prj16, "PRJ17_relabel": prj17, "PRJ20_matrix": prj20,
     "JON2_lookup": jon2, "JON4_head_lookup": jon4, "JON6_alignment": jon6, "JON8_against_reference": jon8, "SET1_union": set1, "SET2_except": set2, "SET3_duplicates": set3, "SET4_set_equality": set4,
     "GEN1_choice_rows": gen1, "GEN2_noul_rows": gen2, "GEN3_native_noul": gen3, "GEN5_score_rows": gen5, "GEN7_build": gen7, "GEN8_mixture": gen8, "GEN9_encode": gen9, "GEN10_collate": gen10,
-    "AGG19_centroids": agg19, "VEC2_rank": vec2, "VEC4_centroid_classifier": vec4, "VEC5_probe": vec5, "TOP1_shortlist": top1, "TOP3_narrow": top3, "AGG15_recall": agg15, "TOP6_by_value": top6,
+    "AGG19_centroids": agg19, "VEC2_rank": vec2, "VEC2_best": vec2_best, "VEC4_centroid_classifier": vec4, "VEC5_probe": vec5, "TOP1_shortlist": top1, "TOP3_narrow": top3, "AGG15_recall": agg15, "TOP6_by_value": top6,
     "STR1_log_volume": str1, "STR3_rate_limit": str3, "STR4_queue_cap": str4, "STR5_recent": str5, "STR6_null_prior": str6, "STR7_callers": str7, "STR8_route": str8, "STR10_hit_rate": str10, "STR11_divergence": str11,
     "UDF9_verify": udf9, "EXT_hourly_volume": ext_volume,
 }
@@ -424,6 +431,7 @@ SELECT source, type, false AS is_null, count(*) AS rows FROM t GROUP BY ALL UNIO
     "GEN10_collate": r"WITH w AS (SELECT sample_id, list_transform(regexp_extract_all(state, '( ?\S+|\s)', 1), lambda w: length(w)) AS ids FROM samples WHERE length(state) > 0) SELECT sample_id, list_sum(ids)::BIGINT AS id_sum, len(ids) AS used, len(ids) - 1 AS last FROM w",
     "AGG19_centroids": f"WITH {_CENT} SELECT label::BIGINT AS label, CAST(unnest(range(64)) AS INT) AS k, round(unnest(c), 6) AS v FROM cent",
     "VEC2_rank": f"WITH {_CENT} SELECT vec_id, CAST(unnest(range(len(s))) AS INT) AS k, round(unnest(s), 6) AS v FROM sc",
+    "VEC2_best": f"WITH {_CENT}, b AS (SELECT vec_id, list_sort(list_transform(range(1, len(s) + 1), lambda i: {{'m': -s[i], 'i': i}}))[1:3] AS b FROM sc) SELECT vec_id, CAST(unnest(range(len(b))) AS INT) AS k, (unnest(b).i - 1)::BIGINT AS place, round(-unnest(b).m, 6) AS score FROM b",
     "VEC4_centroid_classifier": f"WITH {_CENT}, pp AS (SELECT label, {_SOFT50} AS p FROM sc) SELECT label::BIGINT AS label, count(*) AS n, round(avg(CAST(list_position(p, list_max(p)) - 1 = label AS INT)), 6) AS accuracy, round(avg(list_sum(list_transform(range(1, 11), lambda k: pow(p[k] - CASE WHEN k - 1 = label THEN 1 ELSE 0 END, 2)))), 6) AS brier FROM pp GROUP BY label",
     "TOP1_shortlist": f"WITH {_CENT} SELECT vec_id, CAST(unnest(range(3)) AS INT) AS k, unnest({_BEST.replace('K', '3')})::BIGINT AS place FROM sc",
     "TOP3_narrow": f"WITH {_CENT} SELECT vec_id, array_to_string({_BEST.replace('K', '4')}, ',') AS kept, 6::BIGINT AS cut FROM sc",

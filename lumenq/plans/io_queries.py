@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +11,11 @@ from lumenq.plans import decide
 from lumenq.plans.base import FACTS, QUESTIONS, confidences, facts, family_questions
 from lumenq.plans.metric_queries import rounded
 from lumenq.plans.traffic_queries import _EX
-from lumenq.session import load, materialise, shared_dir
+from lumenq.session import load, materialise, scratch
 from lumenq.sources import readers, sinks
 from lumenq.streaming import stateful
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lumenq-io-{name}-{uuid.uuid4().hex}"
-
-
 def _samples(spark, sf):
     return load(spark, sf, "samples").select("sample_id", "task", "state", "label")
 
@@ -29,7 +23,7 @@ def _samples(spark, sf):
 def src1(spark, sf):
     """CSV: two files in order, quotes and line breaks inside fields."""
     rows = _samples(spark, sf).where(F.col("state").isNotNull() & F.col("label").isNotNull())
-    paths = [_place(spark, "csv") for _ in range(2)]
+    paths = [scratch(spark, "csv") for _ in range(2)]
     for k, path in enumerate(paths):
         rows.where(F.col("sample_id") % 2 == k).write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     back = readers.read_csv(spark, paths, line_sep="\n")
@@ -38,7 +32,7 @@ def src1(spark, sf):
 
 def src3(spark, sf):
     """JSON lines, gzip."""
-    path = _place(spark, "gz")
+    path = scratch(spark, "gz")
     _samples(spark, sf).write.json(path, compression="gzip")
     return readers.read_jsonl(spark, path, "sample_id long, task string, state string, label string")
 
@@ -53,7 +47,7 @@ def src7(spark, sf):
 
 def _log_file(spark, sf) -> str:
     """The log as JSON lines, written by the sinks."""
-    path = _place(spark, "log")
+    path = scratch(spark, "log")
     log = load(spark, sf, "traffic_log").where(F.col("id").isNotNull())
     asks = log.where(F.col("kind") == "ask").select("id", "ts", "caller", "model", "state", "questions", "answers", "served_by", "shadow")
     sinks.append_log(sinks.ask_lines(asks), path)
@@ -66,20 +60,26 @@ def src9(spark, sf):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_distinct("log_pos").alias("positions"))
 
 
+def str1_stream(spark, sf):
+    """The log as a stream: each trigger's lines are parsed and appended to a table, each line once."""
+    out, marks = scratch(spark, "appended"), scratch(spark, "appended-marks")
+    readers.stream_log(spark, _log_file(spark, sf)).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
+
+
 def src10(spark, sf):
-    """Prediction files of one task, halves pooled, aligned to the task's labels."""
-    labels = ["billing", "technical", "sales", "shipping", "security", "other"]
-    rows = facts(spark, sf).where(F.col("task") == "desk routes").select("split", F.map_from_arrays("options", "p").alias("probabilities"), "label")
-    paths = [_place(spark, "half") for _ in range(2)]
+    """Prediction files of every task, halves pooled, aligned to the task's labels in order."""
+    rows = facts(spark, sf).select("split", "task", F.map_from_arrays("options", "p").alias("probabilities"), "label", F.array_sort("options").alias("labels"))
+    paths = [scratch(spark, "half") for _ in range(2)]
     for k, path in enumerate(paths):
-        rows.where((F.col("split") == "train") == F.lit(k == 0)).select("probabilities", "label").write.json(path)
-    back = readers.read_predictions(spark, *paths, labels)
-    return rounded(back.groupBy(F.col("half").cast("long").alias("half")).agg(F.count(F.lit(1)).alias("rows"), F.avg(dist.brier(F.col("p"), F.col("y"))).alias("brier")))
+        rows.where((F.col("split") == "train") == F.lit(k == 0)).drop("split").write.json(path)
+    back = readers.read_predictions(spark, *paths)
+    return rounded(back.groupBy("task", F.col("half").cast("long").alias("half")).agg(F.count(F.lit(1)).alias("rows"), F.avg(dist.brier(F.col("p"), F.col("y"))).alias("brier")))
 
 
 def snk5(spark, sf):
     """SRC12: distributions written by task, configuration and tag, one of them read back."""
-    path = _place(spark, "dist")
+    path = scratch(spark, "dist")
     sinks.write_distributions(facts(spark, sf).select("id", "p", "y", "task", "config", F.lit("base").alias("tag")), path)
     one = spark.read.parquet(path).where((F.col("task") == "desk routes") & (F.col("config") == "plain"))
     return one.agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("y_sum"))
@@ -178,7 +178,7 @@ def str2(spark, sf):
     log = load(spark, sf, "traffic_log")
     # A pattern, since a stream of files takes no single file as its path.
     stream = spark.readStream.schema(log.schema).parquet(f"{sf}/traffic_log.parque[t]").select("log_pos", "received_at", "kind", "id", "outcomes")
-    out, marks = _place(spark, "str2"), _place(spark, "str2-marks")
+    out, marks = scratch(spark, "str2"), scratch(spark, "str2-marks")
     stateful.joined_outcomes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     sent = spark.read.schema("id string, ask_pos long, outcome_pos long, outcomes string").parquet(out)
     last = sent.groupBy("id").agg(F.max(F.struct("ask_pos", F.coalesce("outcome_pos", F.lit(-1)))).alias("m"))
@@ -192,7 +192,7 @@ def str2_hours(spark, sf):
     """
     rows = load(spark, sf, "events")
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    out, marks = _place(spark, "hours"), _place(spark, "hours-marks")
+    out, marks = scratch(spark, "hours"), scratch(spark, "hours-marks")
     send = lambda sent, k: sent.write.mode("overwrite").parquet(f"{out}/trigger={k}")
     stateful.hourly_volume(stream).writeStream.foreachBatch(send).option("checkpointLocation", marks).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     sent = spark.read.schema("window struct<start:timestamp,end:timestamp>, event_type string, n long, trigger long").parquet(out)
@@ -252,7 +252,7 @@ def top7(spark, sf, most: int = routing.RECENT):
 
 
 QUERIES = {
-    "SRC1_csv": src1, "SRC3_jsonl_gz": src3, "SRC4_parquet_columns": src4, "SRC7_dispatch": src7, "SRC9_log": src9, "SRC10_prediction_files": src10, "SRC12_distributions": snk5, "SNK6_wire": snk6,
+    "SRC1_csv": src1, "SRC3_jsonl_gz": src3, "SRC4_parquet_columns": src4, "SRC7_dispatch": src7, "SRC9_log": src9, "STR1_stream_append": str1_stream, "SRC10_prediction_files": src10, "SRC12_distributions": snk5, "SNK6_wire": snk6,
     "WIN4_equal_mass": win4, "JON5_pairing": jon5, "JON9_recent_lookup": jon9, "VEC7_pooling": vec7, "VEC6_rerank": vec6, "VEC9_head": vec9, "VEC10_typed_answer": vec10, "FIT21_head_approach": fit21, "TOP4_best": top4, "FIT18_soft_head": fit18,
     "ENT1_decide": ent1, "ENT8_rescore": ent8, "ENT8_pooled_gate": ent8_pooled, "STR2_stream_join": str2, "STR2_stream_hours": str2_hours, "PRJ18_answer_distribution": prj18, "TOP7_recent_ids": top7,
 }
@@ -263,7 +263,8 @@ SQL = {
     "SRC4_parquet_columns": "SELECT sample_id, task FROM samples",
     "SRC7_dispatch": "SELECT sample_id, label FROM samples",
     "SRC9_log": "SELECT kind, count(*) AS rows, count(DISTINCT id) AS ids, count(*) AS positions FROM traffic_log WHERE id IS NOT NULL AND (kind = 'ask' OR outcomes IS NOT NULL) GROUP BY kind",
-    "SRC10_prediction_files": f"WITH {FACTS} SELECT CASE WHEN split = 'train' THEN 0 ELSE 1 END::BIGINT AS half, count(*) AS rows, round(avg(list_sum(list_transform(range(1, n + 1), lambda k: pow(p[k] - CASE WHEN k - 1 = y THEN 1 ELSE 0 END, 2)))), 6) AS brier FROM f WHERE task = 'desk routes' GROUP BY 1",
+    "SRC10_prediction_files": f"WITH {FACTS} SELECT task, CASE WHEN split = 'train' THEN 0 ELSE 1 END::BIGINT AS half, count(*) AS rows, round(avg(list_sum(list_transform(range(1, n + 1), lambda k: pow(p[k] - CASE WHEN k - 1 = y THEN 1 ELSE 0 END, 2)))), 6) AS brier FROM f GROUP BY 1, 2",
+    "STR1_stream_append": "SELECT kind, count(*) AS rows, count(DISTINCT id) AS ids FROM traffic_log WHERE id IS NOT NULL AND (kind = 'ask' OR outcomes IS NOT NULL) GROUP BY kind",
     "SRC12_distributions": f"WITH {FACTS} SELECT count(*) AS rows, sum(y)::BIGINT AS y_sum FROM f WHERE task = 'desk routes' AND config = 'plain'",
     "SNK6_wire": f"WITH {FACTS} SELECT id, n::BIGINT AS input_tokens, 0::BIGINT AS output_tokens FROM f",
     "WIN4_equal_mass": f"WITH {FACTS} SELECT id, ntile(10) OVER (PARTITION BY task ORDER BY list_max(p), id) AS chunk FROM f",

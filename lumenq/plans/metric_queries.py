@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenq.functions import dist
-from lumenq.operators import fit, metrics, stats
+from lumenq.operators import fit, metrics, routing, stats
 from lumenq.operators.ranks import hash_unit_sql
 from lumenq.plans.base import CONF, FACTS, confidences, facts
-from lumenq.session import load
+from lumenq.session import load, materialise
 
 BY = ["task"]
 
@@ -156,8 +156,19 @@ def fit14(spark, sf):
 
 
 def fit15(spark, sf):
-    got = stats.compare(pairs(spark, sf), "family").join(fit16(spark, sf).select(F.col("task").alias("family"), "temperature"), "family", "left")
-    return rounded(got.select("family", "promoted", "n_eval", F.lit("shadow").alias("source"), F.coalesce("temperature", F.lit(1.0)).alias("temperature")))
+    """Every logged head version judged on what it said in shadow, with its temperature; the newest promoted one of a family serves."""
+    key = F.concat_ws("@", "family", F.col("version").cast("string"))
+    every = pairs(spark, sf).withColumn("head", key)
+    judged = stats.compare(every, "head")
+    known = every.where(F.col("y").isNotNull()).select(F.col("head").alias("task"), F.col("student").alias("p"), "y")
+    fitted = fit.head_temperature(fit.diagnose(known, "task")).select(F.col("task").alias("t__"), "temperature")
+    named = every.groupBy("head").agg(F.first("family").alias("family"), F.first("version").alias("version")).withColumnRenamed("head", "h__")
+    heads = judged.join(named, F.col("head") == F.col("h__")).join(fitted, F.col("head") == F.col("t__"), "left")
+    heads = heads.select("family", "version", "promoted", "reasons", "n_eval", F.lit("shadow log").alias("source"), F.coalesce("temperature", F.lit(1.0)).alias("temperature"))
+    heads = materialise(heads, "heads")
+    serving = routing.one_head_per_family(routing.registry(heads)).select(F.col("family").alias("f__"), F.col("version").alias("v__"))
+    marked = heads.join(serving, (F.col("family") == F.col("f__")) & (F.col("version") == F.col("v__")), "left")
+    return rounded(marked.select("family", "version", "promoted", F.concat_ws("; ", "reasons").alias("reasons"), "n_eval", "source", "temperature", F.col("v__").isNotNull().alias("serves")), 4)
 
 
 def fit16(spark, sf):

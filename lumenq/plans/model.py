@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The wire format's names and limits.
 NOUL = ("yes", "no")
 MOST_OPTIONS = 255
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,10 +26,6 @@ class SeamError(ValueError):
     """A continuation doesn't begin where its context ends."""
 
 
-class PrefixError(ValueError):
-    """Branches don't share their prefix."""
-
-
 @dataclass(frozen=True)
 class Question:
     """One closed question; the order of ``options`` is part of what it is."""

@@ -98,16 +98,19 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_log(spark: SparkSession, path: str) -> DataFrame:
     """The log as a stream of lines, in order of arrival."""
-    return spark.readStream.text(path).where(F.trim("value") != "").select(F.from_json("value", LOG).alias("r")).select("r.*")
+    return spark.readStream.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "").select(F.from_json("value", LOG).alias("r")).select("r.*")
 
 
-def read_predictions(spark: SparkSession, train: str, test: str, labels: list[str]) -> DataFrame:
-    """Both halves of a prediction file, train first: ``half``, ``p`` aligned to ``labels``, ``y``."""
-    schema = "probabilities map<string,double>, label string"
+def read_predictions(spark: SparkSession, train: str, test: str, labels: list[str] | None = None) -> DataFrame:
+    """Both halves of a prediction file, train first: ``half``, ``task``, ``p`` aligned to the labels, ``y``.
+
+    Without ``labels`` each line has its task's.
+    """
+    schema = "task string, probabilities map<string,double>, label string, labels array<string>"
     halves = [read_jsonl(spark, path, schema).withColumn("half", F.lit(k)) for k, path in enumerate((train, test))]
-    wanted: Column = F.array(*map(F.lit, labels))
+    wanted: Column = F.col("labels") if labels is None else F.array(*map(F.lit, labels))
     rows = halves[0].unionByName(halves[1])
-    return rows.select("half", F.transform(wanted, lambda o: F.try_element_at("probabilities", o)).alias("p"), (F.array_position(wanted, F.col("label")) - 1).cast("int").alias("y"))
+    return rows.select("half", "task", F.transform(wanted, lambda o: F.try_element_at("probabilities", o)).alias("p"), (F.array_position(wanted, F.col("label")) - 1).cast("int").alias("y"))
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:

@@ -58,11 +58,6 @@ def load_heads(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("family", F.when(F.col("family").eqNullSafe(F.col("computed__")), F.col("family")).otherwise(wrong)).drop("computed__")
 
 
-def served_heads(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(promoted heads, the other ones with their reasons)."""
-    return heads.where("promoted"), heads.where(~F.col("promoted")).select("family", "reasons")
-
-
 def wire_result(answers: Column, input_tokens: Column) -> Column:
     """The response's JSON: answers and usage (nothing is generated, so no output tokens)."""
     return F.to_json(F.struct(answers.alias("answers"), F.struct(input_tokens.cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens")).alias("usage")))

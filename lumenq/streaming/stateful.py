@@ -69,8 +69,3 @@ def joined_outcomes(log: DataFrame, keep: str = "30 days") -> DataFrame:
     timed = log.where(F.col("id").isNotNull()).withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", keep)
     keyed = timed.withColumn("received_ms", F.unix_millis("received_at")).groupBy("id")
     return keyed.applyInPandasWithState(merge, "id string, ask_pos long, outcome_pos long, outcomes string", "ask long, pos long, outcomes string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def recent_asks(asks: DataFrame, keep: str = "1 hour") -> DataFrame:
-    """Asks of a stream, each id once within the watermark (repeated deliveries are dropped)."""
-    return asks.withWatermark("received_at", keep).dropDuplicatesWithinWatermark(["id"])
