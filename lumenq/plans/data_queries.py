@@ -11,6 +11,7 @@ from lumenq.operators.ranks import hash_unit_sql
 from lumenq.plans import decide
 from lumenq.plans.base import CONF, FACTS, QUESTIONS, clean, clean_sql, facts, family_questions
 from lumenq.plans.metric_queries import rounded
+from lumenq.plans.traffic_queries import _BODY
 from lumenq.session import load
 
 
@@ -398,6 +399,7 @@ SQL = {
     "AGG22_first_row": "SELECT min(log_pos) AS log_pos FROM traffic_log WHERE id IS NOT NULL AND kind = 'ask' GROUP BY id",
     "FLT4_token_cap": r"SELECT sample_id FROM samples WHERE len(regexp_extract_all(state, '( ?\S+|\s)', 1)) <= 60",
     "FLT5_pool_minus_split": f"SELECT sample_id FROM samples WHERE {clean_sql('split')} = 'train' AND (state IS NULL OR state NOT IN (SELECT state FROM samples WHERE {clean_sql('split')} <> 'train' AND state IS NOT NULL))",
+    "PRJ7_state_body": f"SELECT example_id, md5({_BODY}) AS shown FROM examples WHERE state IS NOT NULL",
     "PRJ14_label_mappings": "SELECT event_id, CASE WHEN user_id % 2 = 0 AND event_type IS NOT NULL THEN CASE WHEN event_type = 'error' THEN 'yes' ELSE 'no' END END AS incident, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS kept, CASE WHEN event_type = 'view' THEN 'no' ELSE 'yes' END AS emotional FROM events",
     "PRJ15_levels": "SELECT DISTINCT labelled_id, CASE WHEN soft < 0.1 THEN 'not toxic' WHEN soft < 0.4 THEN 'somewhat toxic' WHEN soft < 0.7 THEN 'toxic' ELSE 'very toxic' END AS toxicity, CASE WHEN soft * 4 - 2 > 0.5 THEN 'hateful' WHEN soft * 4 - 2 < -1 THEN 'not hateful' ELSE 'somewhat hateful' END AS hate, 'decile ' || least(floor(soft * 10), 9)::INT AS decile FROM labelled WHERE soft IS NOT NULL",
     "PRJ16_cut_text": f"SELECT doc_id, md5(c) AS cut, length(c) AS chars FROM (SELECT doc_id, nullif(substr({_STRIP.format('text')}, 1, 1500), '') AS c FROM documents WHERE text IS NOT NULL)",

@@ -244,6 +244,12 @@ FROM ex GROUP BY type, d->>'instructions', CASE WHEN json_type(d->'criteria') =
     "PRJ5_options_in_order": f"WITH {QUESTIONS} SELECT family, {_UNNEST.format(v='list_reverse(options)')} AS option FROM q",
     "PRJ6_option_lines": f"WITH {QUESTIONS} SELECT family, {_UNNEST.format(v=_LINES)} AS line FROM q",
     "PRJ8_prefix": f"SELECT example_id, md5({_PREFIX}) AS rendered, length({_PREFIX}) AS chars FROM examples WHERE state IS NOT NULL",
+    "JON1_by_family": f"WITH {_EX}, {QUESTIONS} SELECT family, count(*) AS asks, count(outcome) AS known FROM ex JOIN q ON ex.type = qtype AND ex.d->>'instructions' = instructions AND ex.options = q.options GROUP BY family",
+    "STR9_outcome_validation": f"""WITH {_EX}, r AS (SELECT oid, name, json_extract_string(outcomes, '$."' || name || '"') AS raw FROM ok), ids AS (SELECT DISTINCT request_id FROM qo),
+v AS (SELECT CASE WHEN ids.request_id IS NULL THEN 'accepted' WHEN question IS NULL THEN 'unknown question' WHEN raw IS NULL THEN 'accepted'
+  WHEN CASE WHEN type = 'noul' THEN raw NOT IN ('true', 'yes', 'false', 'no') ELSE NOT list_contains(options, raw) END THEN 'unknown label' ELSE 'accepted' END AS status
+  FROM r LEFT JOIN ids ON ids.request_id = oid LEFT JOIN qo ON qo.request_id = oid AND question = name)
+SELECT status, count(*) AS reports FROM v GROUP BY status""",
     "PRJ9_letter_branch": f"WITH {QUESTIONS} SELECT family, {_BRANCH} AS branch FROM q",
     "PRJ10_sequence_branch": f"WITH {QUESTIONS} SELECT family, '{text.QUESTION}' || instructions || '{text.SEQUENCE_LINE}' || array_to_string(list_transform({_LINES}, lambda l: '- ' || l), chr(10)) || '{text.QUESTION_END}' AS branch FROM q",
     "PRJ11_labels": f"WITH {QUESTIONS} SELECT family, unnest(options) AS option, chr((64 + i)::INT) AS label, ' ' || chr((64 + i)::INT) AS rendered, CAST(64 + i AS INT) AS token_id FROM (SELECT family, unnest(options) AS options, unnest(range(1, len(options) + 1)) AS i FROM (SELECT family, list_transform(options, lambda o: [o]) AS options FROM q))",
