@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import PurePath
 
 import numpy as np
@@ -13,25 +11,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenq.functions.tokens import VOCABULARY, encoder
 from lumenq.session import materialise, task_count
 
-#: A public byte-level vocabulary: one base64 token and its rank a line.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-# Fixed value: how this vocabulary splits text before merging bytes.
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items that are packed together, about; a task packs one such lot after the other.
 LOT_ITEMS = 8_192
 
 
-@lru_cache(maxsize=2)
-def _encoder(vocabulary: str):
-    import tiktoken
-
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("vocabulary", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``n_tokens`` of every text that has a token; whole texts are encoded.
 
@@ -41,7 +27,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     name = PurePath(vocabulary).name
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(SparkFiles.get(name)).encode_ordinary
+        encode = encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "n_tokens": np.array([len(encode(t)) for t in b.text], np.int64)})
 

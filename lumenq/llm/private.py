@@ -19,12 +19,11 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenq.functions.tokens import VOCABULARY
 from lumenq.session import materialise
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: A public byte-level vocabulary: what it holds as one token in lower case is a common word.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Candidates of a kind, about, on which its classifier is trained; drawn by hash from all of them.
 SAMPLE = 6_000
 #: Hashed text features of the classifier, and rounds of its training.
@@ -157,7 +156,7 @@ def _triggers():
 
 @lru_cache(maxsize=2)
 def common_words(vocabulary: str) -> frozenset[str]:
-    """Lower-case words that the vocabulary holds as one token."""
+    """Words in lower case that a public byte-level vocabulary holds as one token."""
     with open(vocabulary, "rb") as lines:
         tokens = (base64.b64decode(line.split()[0]) for line in lines)
         texts = (t[1:].decode("utf-8", "ignore") for t in tokens if t[:1] == b" ")
