@@ -60,8 +60,8 @@ _MAIL_BRACKETS = re.compile(r"(?<![\w.+-])\w[\w.+-]*\s?(?:\(at\)|\[at\]|\{at\})\
 _MAIL_WORDS = re.compile(r"(?<![\w.+-])\w[\w.+-]*\sat\s[\w-]+(?:\sdot\s[\w-]+)+", re.I)
 _MAILS = (("sign", _MAIL), ("brackets", _MAIL_BRACKETS), ("words", _MAIL_WORDS))
 
-#: A stretch that is long enough for a number of interest; patterns are tried there only.
-_NUMBER = re.compile(r"\d[\d\s().+/-]{7,}|[a-z]{2} ?\d{6} ?[a-d](?!\w)|\d{8,}|[a-z]{6}\d{2}[a-z]\d{2}")
+#: A stretch that is long enough for a number of interest, from its first digit; patterns are tried around it only.
+_NUMBER = re.compile(r"\d(?:[\d\s().+/-]{7,}|\d{5}\s?[a-d]|\d{6}-?[a-z]|\d[a-z]\d\d[a-z])")
 _GAP = re.compile(r"[\s/,()<>|;:-]{1,5}$")
 _PHONES = [
     (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d[^\S\n])(?=\d))(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{4}}(?!\d))"))
@@ -228,10 +228,15 @@ def _names(t: _Text) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
     shown, low = t.shown, t.low
     spans = [m.span() for m in _TOKEN.finditer(shown)]
     n = len(spans)
-    words = [low[b:e] for b, e in spans]
+    words = _TOKEN.findall(low)
+    if len(words) != n:
+        words = [low[b:e] for b, e in spans]
+    upper = [shown[b].isupper() for b, _ in spans]
+    if not (any(upper) or t.uniform) and _GIVEN_SET.isdisjoint(words) and _TITLES.isdisjoint(words) and _STRONG_ENDS.isdisjoint(words):
+        return
     # A letter after a number is its unit.
-    initial = [e - b == 1 and shown[b].isupper() and shown[e : e + 1] == "." and not (b > 1 and shown[b - 2].isdigit()) for b, e in spans]
-    capital = [shown[b].isupper() and e - b > 1 and (t.uniform or not shown[b:e].isupper() or e - b > 3) for b, e in spans]
+    initial = [up and e - b == 1 and shown[e : e + 1] == "." and not (b > 1 and shown[b - 2].isdigit()) for up, (b, e) in zip(upper, spans, strict=True)]
+    capital = [up and e - b > 1 and (t.uniform or e - b > 3 or not shown[b:e].isupper()) for up, (b, e) in zip(upper, spans, strict=True)]
 
     def joined(k: int) -> bool:
         """Whether word k follows the one before as a name's parts do."""
@@ -291,7 +296,7 @@ def candidates(text: _Text) -> list[tuple[str, int, int, str]]:
             for m in pattern.finditer(shown):
                 add("email", form, *m.span(), "+" if _KNOWN_TOP.search(low[m.start() : m.end()]) else "-")
     for run in _NUMBER.finditer(low):
-        if sum(map(str.isdigit, run.group())) < 6:
+        if not run.group()[-1].isalpha() and sum(map(str.isdigit, run.group())) < 6:
             continue
         for kind, patterns in (("phone", _PHONES), ("id_number", _IDS)):
             for form, pattern in patterns:
