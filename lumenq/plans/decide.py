@@ -66,6 +66,7 @@ def narrowed(rows: DataFrame, ranker: Ranker, above: int, keep: int) -> DataFram
     ``rows`` has ``shown_state`` beside the question's columns. Only long choices are ranked.
     """
     lines = text.option_lines(F.col("options"), F.col("descriptions"))
+    # Fixed value: the wording of a ranker's task.
     task = F.concat(F.lit("Find the answer option that best answers: "), "instructions")
     cut = (F.col("type") == "choice") & (F.size("options") > above) & (F.size("options") > keep)
 
