@@ -122,3 +122,23 @@ def test_trailing_means_over_blocks(spark, monkeypatch):
     for k in range(60):
         own = [x for _, _, x in rows[max(0, k - 4) : k + 1]]
         assert got[k] == (pytest.approx(sum(own) / len(own)), k + 1)
+
+
+def test_jobs_over_a_log(spark, tmp_path, capsys):
+    from lumenq.__main__ import main
+
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    question = {"type": "choice", "instructions": "Which?", "criteria": ["a", "b"]}
+    shadow = {"q": json.dumps({"head": "h", "version": 2, "probabilities": [0.6, 0.4]})}
+    asks = [(f"r{k}", float(k), "c", "m", f"s{k}", json.dumps({"q": question}), json.dumps({"q": {"choice": "a", "probabilities": {"a": 0.7, "b": 0.3}}}), "{}", json.dumps(shadow)) for k in range(40)]
+    sinks.append_log(sinks.ask_lines(spark.createDataFrame(asks, "id string, ts double, caller string, model string, state string, questions string, answers string, served_by string, shadow string")), path)
+    reports = [(f"r{k}", 100.0 + k, json.dumps({"q": "ab"[k % 2]})) for k in range(30)]
+    sinks.append_log(sinks.outcome_lines(spark.createDataFrame(reports, "id string, ts double, outcomes string")), path)
+    main(["train", "--log", path, "--holdout", "0.3", "--out", out])
+    rows = spark.read.parquet(out).collect()
+    parts = {r.part for r in rows}
+    assert len(rows) == 40 and parts == {"train", "temperature", "evaluation"} and all(abs(sum(r.target) - 1) < 1e-9 for r in rows)
+    main(["shadow", "--log", path, "--head", "h", "--version", "2", "--write", str(tmp_path / "pairs")])
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 30
+    main(["families", "--log", path])
+    assert "Which?" in capsys.readouterr().out
