@@ -91,3 +91,30 @@ def test_predictions_against_brute_force(spark):
 
 def test_empty(spark):
     assert overlap.sample_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_few_unlike_records_are_looked_at(monkeypatch):
+    # Records of one vocabulary: what is followed beyond a passage's first words must not grow with all pairs of records.
+    draw = np.random.default_rng(1)
+    n, size = 3000, 45
+    records = np.stack([np.sort(draw.choice(1500, size, replace=False)) for _ in range(n)]).astype(np.uint32)
+    texts = records.copy()
+    texts[:, :4] += 10_000
+    texts.sort(axis=1)
+    at = np.arange(n + 1) * size
+    followed = []
+    held = overlap._Automaton._held
+    monkeypatch.setattr(overlap._Automaton, "_held", staticmethod(lambda words, begin, each, *rest: followed.append(len(each)) or held(words, begin, each, *rest)))
+    got = {(int(a), int(b)) for x, y, _ in overlap._Automaton(records.ravel(), at, 0.7).read(texts.ravel(), at) for a, b in zip(x, y, strict=True)}
+    assert {(k, k) for k in range(n)} <= got
+    assert sum(followed) < n * n / 100
+
+
+def test_long_records_and_other_similarities(spark):
+    draw = random.Random(3)
+    long = [[f"w{k}x" for k in range(begin, begin + 2500)] for begin in (0, 300, 2000)]
+    rows = [(k, "t", "train" if k % 2 else "test", " ".join(draw.sample(words, len(words) - k)), None, "x", "y") for k, words in enumerate(long * 4)]
+    rows += [(100 + k, "t", "train" if k % 2 else "test", " ".join(draw.sample([f"v{j}" for j in range(14)], draw.randrange(1, 10))), None, "x", "y") for k in range(120)]
+    samples = spark.createDataFrame(rows, SCHEMA)
+    for least in (0.4, 0.7, 1.0):
+        assert {(r.eval_id, r.train_id) for r in overlap.sample_pairs(samples, least).collect()} == brute(rows, least)
