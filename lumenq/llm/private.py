@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import PurePath
 from zlib import crc32
 
@@ -63,37 +63,47 @@ _MAILS = (("sign", _MAIL), ("brackets", _MAIL_BRACKETS), ("words", _MAIL_WORDS))
 #: A stretch that is long enough for a number of interest, from its first digit; patterns are tried around it only.
 _NUMBER = re.compile(r"\d(?:[\d\s().+/-]{7,}|\d{5}\s?[a-d]|\d{6}-?[a-z]|\d[a-z]\d\d[a-z])")
 _GAP = re.compile(r"[\s/,()<>|;:-]{1,5}$")
-_PHONES = [
-    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d[^\S\n])(?=\d))(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{4}}(?!\d))"))
-    for name, pattern in (
-        ("us", r"(?:\+1[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}"),
-        ("uk", r"(?:\+44\s?(?:\(0\)\s?)?|0)(?:\d{2}\s\d{4}\s\d{4}|7\d{3}\s\d{3}\s?\d{3}|\d{4}\s\d{6}|\d{3}\s\d{3}\s\d{4})"),
-        ("fr", r"(?:\+33\s?|0)\d(?:[ .]?\d{2}){4}"),
-        ("de", r"(?:\+49\s?|0)\d{2,4}[ /](?:\d{3,5}[ -]\d{2,4}|\d{5,8})"),
-        ("au", r"\(0\d\)\s\d{4}\s\d{4}|(?:\+61\s?|0)\d(?:\d{2}\s\d{3}\s\d{3}|\s\d{4}\s\d{4})"),
-        ("int", r"\+(?!1|33|44|49|61)\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,6}"),
-    )
-]
+_PHONE_FORMS = (
+    ("us", r"(?:\+1[ .-]?)?(?:\(\d{3}\)\s?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+1\d{10}"),
+    ("uk", r"(?:\+44\s?(?:\(0\)\s?)?|0)(?:\d{2}\s\d{4}\s\d{4}|7\d{3}\s\d{3}\s?\d{3}|\d{4}\s\d{6}|\d{3}\s\d{3}\s\d{4})"),
+    ("fr", r"(?:\+33\s?|0)\d(?:[ .]?\d{2}){4}"),
+    ("de", r"(?:\+49\s?|0)\d{2,4}[ /](?:\d{3,5}[ -]\d{2,4}|\d{5,8})"),
+    ("au", r"\(0\d\)\s\d{4}\s\d{4}|(?:\+61\s?|0)\d(?:\d{2}\s\d{3}\s\d{3}|\s\d{4}\s\d{4})"),
+    ("int", r"\+(?!1|33|44|49|61)\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,6}"),
+)
+
+
+def _phone(pattern: str) -> re.Pattern:
+    return re.compile(rf"(?<![\w+(])(?<!\w[-./])(?:(?=[+(])|(?<!\d[^\S\n])(?=\d))(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{4}}(?!\d))")
+
+
+_PHONES = [(name, _phone(pattern)) for name, pattern in _PHONE_FORMS]
 # Forms whose layout says little; their pattern labeler abstains.
 _WEAK = frozenset(("nine", "twelve", "bare"))
-_IDS = [
-    (name, re.compile(rf"(?<![\w+(])(?<!\w[-./])(?<!\d[^\S\n])(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{3}})", re.I))
-    for name, pattern in (
-        ("ssn", r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}"),
-        ("nino", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]"),
-        ("birth", r"\d{6}[-+A]\d{3}[\dA-Z]"),
-        ("tax", r"\d{2} \d{3} \d{3} \d{3}"),
-        ("passport", r"[A-Z]\d{8}"),
-        ("licence", r"[A-Z]\d{4}-\d{5}-\d{5}"),
-        ("cpf", r"\d{3}\.\d{3}\.\d{3}-\d{2}"),
-        ("dni", r"\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"),
-        ("nir", r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?"),
-        ("codice", r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]"),
-        ("nine", r"\d{3}[- ]\d{3}[- ]\d{3}"),
-        ("twelve", r"\d{4} \d{4} \d{4}"),
-        ("bare", r"\d{9}|\d{11}"),
-    )
-]
+_ID_FORMS = (
+    ("ssn", r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}"),
+    ("nino", r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]"),
+    ("birth", r"\d{6}[-+A]\d{3}[\dA-Z]"),
+    ("tax", r"\d{2} \d{3} \d{3} \d{3}"),
+    ("passport", r"[A-Z]\d{8}"),
+    ("licence", r"[A-Z]\d{4}-\d{5}-\d{5}"),
+    ("cpf", r"\d{3}\.\d{3}\.\d{3}-\d{2}"),
+    ("dni", r"\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]"),
+    ("nir", r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?"),
+    ("codice", r"[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]"),
+    ("nine", r"\d{3}[- ]\d{3}[- ]\d{3}"),
+    ("twelve", r"\d{4} \d{4} \d{4}"),
+    ("bare", r"\d{9}|\d{11}"),
+)
+
+
+def _id(pattern: str) -> re.Pattern:
+    return re.compile(rf"(?<![\w+(])(?<!\w[-./])(?<!\d[^\S\n])(?:{pattern})(?![\w])(?!-\d)(?!\s\d{{3}})", re.I)
+
+
+_IDS = [(name, _id(pattern)) for name, pattern in _ID_FORMS]
+# Of each kind, whether any form matches, and the forms.
+_NUMBERS = tuple((kind, of("|".join(pattern for _, pattern in forms)), patterns) for kind, of, forms, patterns in (("phone", _phone, _PHONE_FORMS, _PHONES), ("id_number", _id, _ID_FORMS, _IDS)))
 _FLAT_BEFORE = r"(?:(?:flat|apt|unit|apartment)\s\d{1,4}[a-z]?,\s)?"
 _FLAT_AFTER = r"(?:,\s(?:flat|apt|unit|apartment|suite)\s\d{1,4}[a-z]?(?!\w))?"
 _W = r"[^\W\d_]{3,}"
@@ -134,9 +144,13 @@ _STRONG_ENDS = frozenset(x.split()[-1] for x in _STRONG)
 _KNOWN_TOP = re.compile(r"(?:com|org|net|edu|gov|io|co|info|example|test|invalid|localhost|[a-z]{2})$")
 _ESCAPE = re.compile(r"\\[nrt\"/\\]")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+# The same in texts without other characters, in less time.
+_TOKEN_ASCII = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")
 _ANY = re.compile(r"[^\W_]+")
 _ENDINGS = re.compile(rf"(?:{'|'.join(_FAMILY.split())})$")
 _GIVEN_SET = frozenset(_GIVEN.split())
+# A name in lower case begins with one of these or after one.
+_STARTS = _GIVEN_SET | _TITLES | _STRONG_ENDS
 _BLANK = re.compile(r"[^\S\n]+$")
 _BLANK_DOT = re.compile(r"\.[^\S\n]+$")
 _COMMA = re.compile(r",[^\S\n]+$")
@@ -183,15 +197,34 @@ class _Text:
         self.low = _lower(self.shown)
         self.common = common
         self.uniform = self.shown.isupper() or self.shown.islower()
-        self.any: list[tuple[int, int]] | None = None
+        self.near: dict[tuple[int, int], tuple[list[str], list[str]]] = {}
 
     def around(self, begin: int, end: int) -> tuple[list[str], list[str]]:
-        """The five words before and the three after a span."""
-        if self.any is None:
-            self.any = [m.span() for m in _ANY.finditer(self.low)]
-            self.starts, self.ends = [b for b, _ in self.any], [e for _, e in self.any]
-        k, j = bisect_right(self.ends, begin), bisect_left(self.starts, end)
-        return [self.low[b:e] for b, e in self.any[max(0, k - 5) : k]], [self.low[b:e] for b, e in self.any[j : j + 3]]
+        """The five words before and the three after a span; a word that reaches into it is neither."""
+        if (found := self.near.get((begin, end))) is None:
+            found = self.near[begin, end] = self._before(begin), self._after(end)
+        return found
+
+    def _cut(self, at: int) -> bool:
+        return 0 < at < len(self.low) and self.low[at - 1].isalnum() and self.low[at].isalnum()
+
+    def _before(self, begin: int) -> list[str]:
+        reach = 64
+        while True:
+            first = max(0, begin - reach)
+            words = _ANY.findall(self.low, first, begin)
+            if words and self._cut(begin):
+                words.pop()
+            # The first one may begin further left.
+            if first == 0 or len(words) > 5:
+                return words[-5:]
+            reach *= 4
+
+    def _after(self, end: int) -> list[str]:
+        words = _ANY.finditer(self.low, end)
+        if self._cut(end):
+            next(words, None)
+        return [m.group() for m in islice(words, 3)]
 
 
 def _case(span: str) -> str:
@@ -226,17 +259,23 @@ def _names(t: _Text) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
     word, a word and a given name with a comma between, and two words after a strong cue.
     """
     shown, low = t.shown, t.low
-    spans = [m.span() for m in _TOKEN.finditer(shown)]
+    spans = [m.span() for m in (_TOKEN_ASCII if shown.isascii() else _TOKEN).finditer(shown)]
     n = len(spans)
-    words = _TOKEN.findall(low)
-    if len(words) != n:
-        words = [low[b:e] for b, e in spans]
-    upper = [shown[b].isupper() for b, _ in spans]
-    if not (any(upper) or t.uniform) and _GIVEN_SET.isdisjoint(words) and _TITLES.isdisjoint(words) and _STRONG_ENDS.isdisjoint(words):
+    words = [low[b:e] for b, e in spans]
+    upper = [k for k, (b, _) in enumerate(spans) if shown[b].isupper()]
+    if not (upper or t.uniform) and _GIVEN_SET.isdisjoint(words) and _TITLES.isdisjoint(words) and _STRONG_ENDS.isdisjoint(words):
         return
     # A letter after a number is its unit.
-    initial = [up and e - b == 1 and shown[e : e + 1] == "." and not (b > 1 and shown[b - 2].isdigit()) for up, (b, e) in zip(upper, spans, strict=True)]
-    capital = [up and e - b > 1 and (t.uniform or e - b > 3 or not shown[b:e].isupper()) for up, (b, e) in zip(upper, spans, strict=True)]
+    initial, capital = [False] * n, [False] * n
+    for k in upper:
+        b, e = spans[k]
+        initial[k] = e - b == 1 and shown[e : e + 1] == "." and not (b > 1 and shown[b - 2].isdigit())
+        capital[k] = e - b > 1 and (t.uniform or e - b > 3 or not shown[b:e].isupper())
+    starts = range(n) if t.uniform else upper
+    if not (t.uniform or _STARTS.isdisjoint(words)):
+        known = {k for k, w in enumerate(words) if w in _GIVEN_SET}
+        announced = {k for k, w in enumerate(words[:-1], 1) if w in _TITLES or w in _STRONG_ENDS}
+        starts = sorted({*upper, *known, *announced})
 
     def joined(k: int) -> bool:
         """Whether word k follows the one before as a name's parts do."""
@@ -245,7 +284,7 @@ def _names(t: _Text) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
             return not initial[k - 1]
         return bool((_BLANK_DOT if initial[k - 1] else _BLANK).fullmatch(gap))
 
-    for k in range(n):
+    for k in starts:
         if not (t.uniform or capital[k] or initial[k] or words[k] in _GIVEN_SET or (k and (words[k - 1] in _TITLES or words[k - 1] in _STRONG_ENDS))):
             continue
         if words[k] in _TITLES or (words[k] in _CLOSED and not initial[k] and words[k] not in _GIVEN_SET) or (k and spans[k][0] and shown[spans[k][0] - 1] in "@_"):
@@ -298,9 +337,12 @@ def candidates(text: _Text) -> list[tuple[str, int, int, str]]:
     for run in _NUMBER.finditer(low):
         if not run.group()[-1].isalpha() and sum(map(str.isdigit, run.group())) < 6:
             continue
-        for kind, patterns in (("phone", _PHONES), ("id_number", _IDS)):
+        first, last = max(0, run.start() - 7), min(len(shown), run.end() + 6)
+        for kind, any_form, patterns in _NUMBERS:
+            if not any_form.search(shown, first, last):
+                continue
             for form, pattern in patterns:
-                for m in pattern.finditer(shown, max(0, run.start() - 7), min(len(shown), run.end() + 6)):
+                for m in pattern.finditer(shown, first, last):
                     digits = sum(c.isdigit() for c in m.group())
                     strict = form not in _WEAK if kind == "id_number" else 9 <= digits <= 13
                     add(kind, form, *m.span(), "+" if strict else "." if kind == "id_number" else "-")

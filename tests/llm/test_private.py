@@ -97,3 +97,33 @@ def test_estimate_follows_agreeing_labelers():
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert private.spans(empty).count() == 0 and private.redacted(empty).count() == 0
+
+
+def test_words_around_are_whole_and_numbers_seldom_tried(monkeypatch):
+    text = private._Text("one two9 " + "far-away " * 3 + "x" * 300 + " café_bar ab12cd éa, end", frozenset())
+    words = [m.span() for m in private._ANY.finditer(text.low)]
+    for begin in range(len(text.low)):
+        for end in range(begin + 1, len(text.low), 37):
+            before = [text.low[b:e] for b, e in words if e <= begin][-5:]
+            assert text.around(begin, end) == (before, [text.low[b:e] for b, e in words if b >= end][:3])
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.calls = pattern, 0
+
+        def finditer(self, *at):
+            self.calls += 1
+            return self.pattern.finditer(*at)
+
+        def search(self, *at):
+            self.calls += 1
+            return self.pattern.search(*at)
+
+    counted = [[(form, Counted(p)) for form, p in patterns] for patterns in (private._PHONES, private._IDS)]
+    monkeypatch.setattr(private, "_PHONES", counted[0])
+    monkeypatch.setattr(private, "_IDS", counted[1])
+    if hasattr(private, "_NUMBERS"):
+        monkeypatch.setattr(private, "_NUMBERS", tuple((kind, Counted(p), forms) for (kind, p, _), forms in zip(private._NUMBERS, counted, strict=True)))
+    # Runs of digits that are neither: no form is tried by itself.
+    assert not [c for c in private.candidates(private._Text("On 2024-05-17 08:15 and 2023.11.02 10 of 3 4 5 6 7 8", frozenset())) if c[0] != "name"]
+    assert sum(p.calls for patterns in counted for _, p in patterns) == 0
