@@ -105,6 +105,7 @@ def passages(words: np.ndarray, cost: np.ndarray, need: int) -> list[tuple[int,
     records differ in fewer words than there are stretches, one stretch is untouched: it stands
     word for word, side by side, in the other record as well. Stretches are cut at an equal
     share of the surprise. None begins with a frequent word if there are enough without.
+    Such stretches bear no words in between; ``sample_overlaps`` cuts records otherwise.
     """
     n = len(words)
     if need >= n:
